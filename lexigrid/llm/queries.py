@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bytebpe, decontam, quality, sharding, tokenfile, wordpiece
+from . import bytebpe, decontam, ngramjoin, quality, sharding, tokenfile, wordpiece
 from .common import documents
 
 
@@ -14,6 +14,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.ngram_classes(documents(spark, sf_dir))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(documents(spark, sf_dir), _table(spark, sf_dir, "labels"))
 
@@ -39,9 +43,9 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op3_quality_rules, op5_decontamination, op7_token_counts, op8_sharding, op9_byte_bpe, op10_token_files)
+    own = (op2_ngram_jaccard, op3_quality_rules, op5_decontamination, op7_token_counts, op8_sharding, op9_byte_bpe, op10_token_files)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": quality.oracle(), "op5_decontamination": decontam.oracle()}
+    return {"op2_ngram_jaccard": ngramjoin.oracle(), "op3_quality_rules": quality.oracle(), "op5_decontamination": decontam.oracle()}
