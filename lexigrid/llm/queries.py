@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bytebpe, decontam, ngramjoin, quality, sharding, tokenfile, wordpiece
+from . import bytebpe, decontam, linededup, ngramjoin, quality, sharding, tokenfile, wordpiece
 from .common import documents
 
 
@@ -14,6 +14,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_report(documents(spark, sf_dir))
+
+
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.ngram_classes(documents(spark, sf_dir))
 
@@ -43,7 +47,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op2_ngram_jaccard, op3_quality_rules, op5_decontamination, op7_token_counts, op8_sharding, op9_byte_bpe, op10_token_files)
+    own = (op1_line_dedup, op2_ngram_jaccard, op3_quality_rules, op5_decontamination, op7_token_counts, op8_sharding, op9_byte_bpe, op10_token_files)
     return {f.__name__: f for f in own}
 
 
