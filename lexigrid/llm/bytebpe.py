@@ -2,8 +2,8 @@
 
 Encoding: the pattern cuts a text into words; the distinct words of a batch become token-position rows in DuckDB; a
 recursive query joins neighbouring rows with the merge table and contracts each word's leftmost pair of least rank
-until no pair is left. Decoding: the ids are unnested with their positions, joined with the vocabulary and put together
-by an ordered aggregate.
+until no pair is left. Decoding: the ids, with their positions, are joined with the vocabulary and put together by an
+ordered aggregate.
 
 Defined results: null and empty texts have no ids and decode to no bytes; ties between pairs go to the leftmost;
 repeated rows are encoded alike; extra columns are ignored. A word longer than LONG_WORD bytes would need as many
@@ -16,6 +16,7 @@ import base64
 import functools
 import hashlib
 import heapq
+import itertools
 from collections.abc import Iterator
 
 import duckdb
@@ -30,7 +31,7 @@ from .common import bound_batches, slices
 
 LONG_WORD = 400
 #: Words whose ids a worker keeps; beyond it the worker starts afresh, so its memory is bounded.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 800_000
 
 CONTRACT = """
 WITH RECURSIVE state(step, word, pos, token) AS (
@@ -51,12 +52,18 @@ FROM state JOIN (SELECT word, max(step) AS step FROM state GROUP BY word) USING
 """
 
 DECODE = """
-SELECT d.doc AS doc, string_agg(v.piece, '' ORDER BY d.pos) AS text
-FROM (SELECT doc, unnest(ids) AS token, generate_subscripts(ids, 1) AS pos FROM encoded) d
-JOIN vocabulary v ON v.token = d.token GROUP BY d.doc
+SELECT d.doc AS doc, array_to_string(list(v.piece ORDER BY d.pos), '') AS text
+FROM encoded d JOIN vocabulary v ON v.token = d.token GROUP BY d.doc
 """
 
 
+def _is_text(word: bytes) -> bool:
+    try:
+        return bool(word.decode())
+    except UnicodeDecodeError:
+        return False
+
+
 class Codec:
     """One vocabulary of ranks in a DuckDB connection of its own: one thread, no files."""
 
@@ -64,8 +71,9 @@ class Codec:
         with open(ranks_path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
         self.pattern = regex.compile(pattern)
-        self.whole = {word: np.uint32(rank).tobytes() for word, rank in self.ranks.items()}
-        self.cache: dict[bytes, bytes] = {}
+        #: Words that are in the vocabulary as a whole are never contracted.
+        self.whole = {w.decode(): np.uint32(rank).tobytes() for w, rank in self.ranks.items() if _is_text(w)}
+        self.cache: dict[str, bytes] = dict(self.whole)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         merges = [(self.ranks[w[:i]], self.ranks[w[i:]], rank) for w, rank in self.ranks.items() for i in range(1, len(w)) if w[:i] in self.ranks and w[i:] in self.ranks]
         left, right, merged = (pa.array(x, pa.int32()) for x in zip(*merges, strict=True))
@@ -81,12 +89,14 @@ class Codec:
         self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
         self.db.unregister("given")
 
-    def _learn(self, words: list[bytes]) -> None:
+    def _learn(self, words: list[str]) -> None:
         """Put the ids of these words, none of which is in the vocabulary, in the cache."""
-        short = [w for w in words if len(w) <= LONG_WORD]
-        for w in words:
+        raw = [w.encode() for w in words]
+        short = [w for w in raw if len(w) <= LONG_WORD]
+        names = [n for n, w in zip(words, raw, strict=True) if len(w) <= LONG_WORD]
+        for n, w in zip(words, raw, strict=True):
             if len(w) > LONG_WORD:
-                self.cache[w] = np.array(self._contract_long(w), np.uint32).tobytes()
+                self.cache[n] = np.array(self._contract_long(w), "<u4").tobytes()
         if not short:
             return
         sizes = np.fromiter(map(len, short), np.int64, len(short))
@@ -100,7 +110,7 @@ class Codec:
         ids = found.column("ids").combine_chunks()
         flat, offsets = ids.values.to_numpy().astype("<u4"), ids.offsets.to_numpy()
         for n, w in enumerate(found.column("word").to_numpy()):
-            self.cache[short[w]] = flat[offsets[n] : offsets[n + 1]].tobytes()
+            self.cache[names[w]] = flat[offsets[n] : offsets[n + 1]].tobytes()
 
     def _contract_long(self, word: bytes) -> list[int]:
         """The same rule for a long word: a heap of (rank, place) over a linked list of parts."""
@@ -128,20 +138,20 @@ class Codec:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [[w.encode() for w in self.pattern.findall(t)] for t in texts]
+        cut = [self.pattern.findall(t) for t in texts]
         if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        new = {w for words in cut for w in words if w not in self.whole and w not in self.cache}
+            self.cache = dict(self.whole)
+        new: set[str] = set()
+        for words in cut:
+            new.update(itertools.filterfalse(self.cache.__contains__, words))
         if new:
             self._learn(sorted(new))
-        whole, cache = self.whole, self.cache
-        return [b"".join([whole.get(w) or cache[w] for w in words]) for words in cut]
+        return [b"".join(map(self.cache.__getitem__, words)) for words in cut]
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
         sizes = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
-        offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
-        flat = pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32))
-        self.db.register("encoded", pa.table({"doc": pa.array(range(len(ids)), pa.int32()), "ids": pa.ListArray.from_arrays(pa.array(offsets), flat)}))
+        tokens = np.frombuffer(b"".join(ids), "<u4").astype(np.int32)
+        self.db.register("encoded", pa.table({"doc": np.repeat(np.arange(len(ids), dtype=np.int32), sizes), "pos": np.arange(len(tokens)), "token": tokens}))
         found = self.db.execute(DECODE).fetchall()
         self.db.unregister("encoded")
         out = [b""] * len(ids)
