@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bytebpe, decontam, linededup, ngramjoin, quality, sharding, tokenfile, wordpiece
+from . import bytebpe, decontam, htmlmain, langid, linededup, ngramjoin, quality, sharding, tokenfile, wordpiece
 from .common import documents
 
 
@@ -26,10 +26,18 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(documents(spark, sf_dir), _table(spark, sf_dir, "labels"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(documents(spark, sf_dir))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(documents(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmlmain.extract(_table(spark, sf_dir, "pages"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.count_pieces(documents(spark, sf_dir))
 
@@ -47,7 +55,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_line_dedup, op2_ngram_jaccard, op3_quality_rules, op5_decontamination, op7_token_counts, op8_sharding, op9_byte_bpe, op10_token_files)
+    own = (op1_line_dedup, op2_ngram_jaccard, op3_quality_rules, op4_language_id, op5_decontamination, op6_html_text, op7_token_counts, op8_sharding, op9_byte_bpe, op10_token_files)
     return {f.__name__: f for f in own}
 
 
