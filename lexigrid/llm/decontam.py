@@ -20,8 +20,9 @@ from .common import cut, new_table, parallelism
 from .quality import let
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-TERM = r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"
-WINDOW, ANCHORS = 10, 3
+#: What stands between words. Splitting on it is ten times as fast as extracting its complement.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+WINDOW, ANCHORS = 10, 2
 #: Tables of the benchmark's size are broadcast up to so many rows (some 100 bytes each), and shuffled beyond.
 BROADCAST_ROWS = 200_000
 
@@ -30,7 +31,7 @@ def terms(text: Column) -> Column:
     """The words of a text, A-Z lower-cased. lower() does it for texts of ASCII alone; others keep their other capitals."""
     t = F.coalesce(text, F.lit(""))
     low = F.when(F.octet_length(t) == F.length(t), F.lower(t)).otherwise(F.translate(t, UPPER, LOWER))
-    return F.regexp_extract_all(low, F.lit(TERM), F.lit(1))
+    return F.array_remove(F.split(low, BETWEEN, -1), "")
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -73,9 +74,9 @@ def anchors_of(docs: DataFrame, items: DataFrame, window: int = WINDOW, anchors:
 
 
 def build_index(docs: DataFrame, wanted: DataFrame, path: str) -> DataFrame:
-    """Store the postings of the wanted terms, in ranges of (term, document), and read them back."""
+    """Store the postings of the wanted terms, each term's dealt over all files by document and in order in each, and read them back."""
     spark = docs.sparkSession
-    postings(docs, small(wanted)).repartitionByRange(parallelism(spark), "term", "d", "h", "pos").sortWithinPartitions("term", "d", "h", "pos").write.parquet(path)
+    postings(docs, small(wanted)).repartition(parallelism(spark), "term", "d").sortWithinPartitions("term", "d", "h", "pos").write.parquet(path)
     return spark.read.parquet(path)
 
 
@@ -165,8 +166,8 @@ def proximity(docs: DataFrame, benchmark: DataFrame, slack: int = 10, anchors: i
 def oracle() -> str:
     """DuckDB SQL for decontaminate()."""
     return rf"""
-WITH docs AS (SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{TERM[1:-1]}') AS w FROM documents),
-items AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{TERM[1:-1]}') AS w FROM benchmark),
+WITH docs AS (SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
 pieces AS (SELECT item_id, least(len(w), {WINDOW}) AS width, w, unnest(range(1, len(w) - least(len(w), {WINDOW}) + 2)) AS s FROM items WHERE len(w) > 0),
 wanted AS (SELECT DISTINCT item_id, width, array_to_string(w[s:s + width - 1], ' ') AS g FROM pieces),
 places AS (SELECT id, width, w, unnest(range(1, len(w) - width + 2)) AS s FROM docs, (SELECT DISTINCT width FROM wanted) WHERE len(w) >= width),
