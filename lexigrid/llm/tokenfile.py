@@ -12,6 +12,7 @@ other; an empty table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 import re
 import zlib
@@ -20,16 +21,29 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import bound_batches, new_table, parallelism, slices
 
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 16 << 20, 256 << 10, 1000
 #: Pieces of text whose ids a worker keeps; beyond it the worker starts afresh.
-CACHE_PIECES = 600_000
-#: ASCII white space never takes part in a token or in a composed character, so a text may be cut there.
+CACHE_PIECES = 1_300_000
+#: ASCII white space never takes part in a token or in a composed character, so any text may be cut there.
 PIECE = re.compile("[^ \t\n\r\x0b\x0c]+")
+#: In a text of these characters alone (no apostrophe, so no contraction; no combining mark), and without the opening of
+#: a special token, the tokenizer's own cuts always fall between a run of letters and what stands beside it.
+LETTERS = "a-z\u00df-\u00f6\u00f8-\u012f\u0131-\u024f"
+PLAIN = re.compile(f"[\t-\r\x20-\x26\x28-\x7e{LETTERS}]*")
+LETTER_RUN = re.compile(f"[{LETTERS}]+")
+RUN = re.compile(f"[{LETTERS}]+|[^\\s{LETTERS}]+")
+
+
+def pieces(text: str) -> list[str]:
+    """The text cut where no token can span; lower-cased if that leaves the ids the same."""
+    if "\u0130" not in text and PLAIN.fullmatch(low := text.lower()) and "<|" not in low:
+        return RUN.findall(low)
+    return PIECE.findall(text)
 
 
 class Encoder:
@@ -39,19 +53,38 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.cache: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[n for token, n in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def _learn(self, new: list[str]) -> None:
+        """Put the ids of these pieces in the cache. Runs of letters are one word each, so many go to the tokenizer as
+        one text, and the marks of a word's end tell their ids apart; other pieces go one by one."""
+        words = [p for p in new if LETTER_RUN.fullmatch(p)]
+        single = [p for p in new if not LETTER_RUN.fullmatch(p)]
+        for at in range(0, len(words), 4000):
+            part = words[at : at + 4000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<i4")
+            edges = np.concatenate(([0], 4 * (np.flatnonzero(self.ends[ids]) + 1))).tolist()
+            if len(edges) != len(part) + 1:
+                single += part
+                continue
+            raw = ids.tobytes()
+            self.cache.update(zip(part, (raw[a:b] for a, b in itertools.pairwise(edges)), strict=True))
+        for p, e in zip(single, self.tokenizer.encode_batch_fast(single, add_special_tokens=False), strict=True):
+            self.cache[p] = np.array(e.ids, "<i4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers; equal pieces are encoded once."""
-        cut = [PIECE.findall(t) for t in texts]
+        cut = [pieces(t) for t in texts]
         if len(self.cache) > CACHE_PIECES:
             self.cache.clear()
-        cache = self.cache
-        new = list({p for pieces in cut for p in pieces if p not in cache})
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        flat, at = np.fromiter((i for ids in found for i in ids), "<i4").tobytes(), 0
-        for p, ids in zip(new, found, strict=True):
-            cache[p] = flat[at : (at := at + 4 * len(ids))]
-        return [b"".join([cache[p] for p in pieces]) for pieces in cut]
+        unknown: set[str] = set()
+        for found in cut:
+            unknown.update(itertools.filterfalse(self.cache.__contains__, found))
+        if unknown:
+            self._learn(list(unknown))
+        return [b"".join(map(self.cache.__getitem__, found)) for found in cut]
 
 
 @functools.cache
@@ -59,6 +92,14 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def place(value: Column, edges: list[int]) -> Column:
+    """The number of edges that are not above the value, by binary search in a constant array."""
+    steps = max(1, len(edges).bit_length())
+    padded = F.lit([*edges, *[(1 << 63) - 1] * ((1 << steps) - len(edges))]).cast("array<bigint>")
+    found = F.aggregate(F.lit([1 << k for k in reversed(range(steps))]), F.lit(0), lambda low, step: F.when(F.get(padded, low + step - 1) <= value, low + step).otherwise(low))
+    return F.least(found, F.lit(len(edges)))
+
+
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str | None = None, end_id: int = 1, text: str = "text", partitions: int | None = None) -> None:
     """Write doc_id, n_tokens, local_start (long), file_no (int), tokens (array of int) of every row of docs."""
     spark = docs.sparkSession
@@ -76,9 +117,14 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str | None = None,
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), pa.array(start + ends - sizes), tokens], ["doc_id", "n_tokens", "local_start", "tokens"])
             start += int(ends[-1])
 
+    ids = F.col("doc_id").cast("bigint").alias("doc_id")
+    parts = partitions or parallelism(spark)
+    # Quantiles of doc_id from a scan of that column alone; repartitionByRange would read the texts twice.
+    edges = docs.select(ids).agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10_000)).first()[0] if parts > 1 else None
+    edges = sorted(set(edges or []))
     (
-        docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-        .repartitionByRange(partitions or parallelism(spark), "doc_id")
+        docs.select(ids, F.col(text).alias("text"))
+        .repartitionById(parts, F.coalesce(place(F.col("doc_id"), edges), F.lit(0)))
         .sortWithinPartitions("doc_id")
         .mapInArrow(run, "doc_id bigint, n_tokens bigint, local_start bigint, tokens array<int>")
         .withColumn("file_no", F.spark_partition_id())
