@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, new_table, parallelism
+from .common import cut, drop_table, new_table, parallelism
 from .quality import let
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -121,8 +121,10 @@ def phrase_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, anc
     rows, items = keyed(docs), items_of(benchmark)
     windows = cut(anchors_of(rows, items, window, anchors))
     wanted = windows.select("item_id", F.explode("at").alias("q")).join(items, "item_id").select(F.get("words", F.col("q")).alias("term")).distinct()
-    index = build_index(rows, cut(wanted), new_table(docs.sparkSession, "postings"))
-    return verified(rows, cut(alignments(index, items, windows)), items, window)
+    table = new_table(docs.sparkSession, "postings")
+    candidates = cut(alignments(build_index(rows, cut(wanted), table), items, windows))
+    drop_table(docs.sparkSession, table)
+    return verified(rows, candidates, items, window)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -138,9 +140,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs in which no window of the benchmark occurs."""
-    hits = phrase_hits(docs, benchmark).where(F.size("hits") > 0).select("d", "h").distinct()
-    own = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1))
-    return docs.withColumns({"_d": own, "_h": F.xxhash64("text")}).join(hits, (F.col("_d") == F.col("d")) & (F.col("_h") == F.col("h")), "left_anti").drop("_d", "_h")
+    hits = phrase_hits(docs, benchmark).where(F.size("hits") > 0).select(F.col("d").alias("_hit_d"), F.col("h").alias("_hit_h")).distinct()
+    own = docs.withColumns({"_own_d": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1)), "_own_h": F.xxhash64("text")})
+    return own.join(hits, (F.col("_own_d") == F.col("_hit_d")) & (F.col("_own_h") == F.col("_hit_h")), "left_anti").select(*docs.columns)
 
 
 def proximity(docs: DataFrame, benchmark: DataFrame, slack: int = 10, anchors: int = ANCHORS) -> DataFrame:
