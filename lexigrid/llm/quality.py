@@ -166,7 +166,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that are kept, with their own columns. Two passes over the texts; only numbers are shuffled."""
     own = docs.columns
     inner = docs.select("doc_id", "lang", "text")
-    policy = cut(calibrate(counted(inner).drop("text"), labels))
+    policy = cut(calibrate(cut(counted(inner).drop("text")), labels))
     return judge(counted(docs.select(F.struct(*own).alias("_row"), "lang", "text")), policy).where("kept").select(*[F.col("_row").getField(c).alias(c) for c in own])
 
 
