@@ -1,4 +1,4 @@
-"""Words, tokens and the restricted lower case, as Column -> Column functions. The patterns read alike in Java and RE2."""
+"""Words, tokens and the restricted lower case, as Column -> Column functions. The grammars read alike in Java and RE2."""
 
 from __future__ import annotations
 
@@ -24,6 +24,11 @@ GRAMMARS = {
 }
 
 
+#: In Java a group repeated as (...)* recurses at each step and runs out of stack on a token of some thousand letters. As
+#: nothing follows the repetitions, making them possessive changes no match, and those are loops.
+_JAVA = {name: pattern.replace(")*", ")*+") for name, pattern in GRAMMARS.items()}
+
+
 def column(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
@@ -40,7 +45,7 @@ def cased(text: Column | str, grammar: str) -> Column:
 
 def tokens(text: Column | str, grammar: str = "index") -> Column:
     """array<string>: the tokens of the text in order; null for a null text."""
-    return F.regexp_extract_all(cased(text, grammar), F.lit(f"({GRAMMARS[grammar]})"), F.lit(1))
+    return F.regexp_extract_all(cased(text, grammar), F.lit(f"({_JAVA[grammar]})"), F.lit(1))
 
 
 def terms(text: Column | str, grammar: str = "index") -> Column:

@@ -42,6 +42,16 @@ def test_golden_tokens(spark):
     assert tokens(spark, pairs) == expected
 
 
+def test_long_tokens(spark):
+    """Tokens of any length, with and without connectors."""
+    long = ["x" * 60_000, "a-" * 30_000 + "b", "1.2" * 20_000]
+    df = spark.createDataFrame([(t,) for t in long], "t string")
+    for g in text.GRAMMARS:
+        got = [r.x for r in df.select(text.tokens("t", g).alias("x")).collect()]
+        assert all(len(x) == 1 for x in got[:2])
+        assert got[2] == (long[2:] if g != "plain" else long[2].split("."))
+
+
 def test_null_text(spark):
     row = spark.createDataFrame([(None,)], "t string").select(text.tokens("t").alias("x"), text.word_count("t").alias("n")).first()
     assert row.x is None and row.n == 0
