@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, release
 
 MOST_ROUNDS = 60
 
@@ -32,6 +32,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if now == before:
             break
         before = now
+        del both, least, large, small
+        release(edges.sparkSession)
     else:
         raise RuntimeError("the components did not settle")
     ids = pairs.select(F.col("u").alias("id"), F.col("v").alias("component"))

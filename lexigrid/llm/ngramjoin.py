@@ -28,21 +28,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, cut, new_table, parallelism, slices
+from .common import bound_batches, cut, drop_table, new_table, parallelism, slices
 from .components import components
 from .shingles import folded, mixed, shingle_sets
 
 #: Similarity as a fraction.
 NUM, DEN = 3, 4
 WIDTH = 5
-#: A shingle that so many documents hold is placed behind rarer ones; at most HOT_KEPT of them are told apart. The order never changes the result.
-HOT, HOT_LOCAL, HOT_KEPT = 100, 3, 200_000
+#: A shingle that so many documents hold is placed behind rarer ones; the HOT_KEPT most frequent are told apart (16 bytes
+#: each on the driver and in every task). Shingles are counted by COUNT_BITS bits of their hashes, enough for some 2 ** 34
+#: shingles. The order never changes the result, only the work.
+HOT, HOT_KEPT, COUNT_BITS = 64, 400_000, 32
 #: Sets of a list that is compared pair by pair; longer lists go by blocks of about BLOCK_SHINGLES, BLOCK_SETS sets at most.
-LIGHT, BLOCK_SHINGLES, BLOCK_SETS = 64, 200_000, 256
+LIGHT, BLOCK_SHINGLES, BLOCK_SETS = 256, 200_000, 256
 #: Estimated candidates of a set in inverted lists, for the boundary.
 CANDIDATES = 3
 #: Sizes that the boundary may take; subsets of larger sets are too many in any case.
 MOST_SMALL = 12
+#: Bytes of text that are hashed at once: numpy's temporaries take some 40 times as much.
+SLICE = 1 << 19
 #: doc_ids that are broadcast up to so many (16 bytes each), and joined by a shuffle beyond.
 BROADCAST_ROWS = 1_000_000
 
@@ -82,6 +86,57 @@ def least_difference(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0) ^ a).sum())
 
 
+def packed(values: np.ndarray) -> bytes:
+    """Sorted 32-bit numbers as 16-bit steps; a step of 65535 goes on without standing for a number."""
+    steps = np.diff(values.astype(np.int64), prepend=0)
+    marks = steps // 65535
+    out = np.full(len(values) + int(marks.sum()), 65535, np.uint16)
+    out[np.cumsum(marks + 1) - 1] = steps % 65535
+    return out.tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    steps = np.frombuffer(data, np.uint16)
+    return np.cumsum(steps.astype(np.int64))[steps != 65535]
+
+
+def hot_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingles' hash bits, sorted, and how many documents hold them. All shingles of all documents count.
+
+    A task sorts what it has read and sends one packed run to each range of hashes; a range is counted by one task.
+    """
+    ranges = 4 * parallelism(docs.sparkSession)
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def send() -> pa.RecordBatch:
+            values = np.sort(np.concatenate(held)) if held else np.zeros(0, np.uint32)
+            edges = np.searchsorted(values, (np.arange(ranges + 1) << COUNT_BITS) // ranges)
+            parts = [(r, packed(values[a:b])) for r, (a, b) in enumerate(itertools.pairwise(edges.tolist())) if b > a]
+            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int32()), pa.array([p[1] for p in parts], pa.binary())], ["range", "run"])
+
+        for batch in slices(batches, "text", SLICE):
+            for s in shingle_sets(batch.column("text").to_pylist(), WIDTH):
+                held.append((s >> np.uint64(64 - COUNT_BITS)).astype(np.uint32))
+                n += len(s)
+            if n > 3_000_000:
+                yield send()
+                held, n = [], 0
+        yield send()
+
+    def count(table: pa.Table) -> pa.Table:
+        values, times = np.unique(np.concatenate([unpacked(x) for x in table.column("run").to_pylist()]), return_counts=True)
+        often = times >= HOT
+        return pa.table({"shingle": values[often], "times": times[often].astype(np.int64)})
+
+    counted = docs.select("text").mapInArrow(runs, "range int, run binary").groupBy("range").applyInArrow(count, "shingle bigint, times bigint")
+    found = counted.orderBy(F.desc("times"), "shingle").limit(HOT_KEPT).toArrow()
+    h, t = found.column("shingle").to_numpy().astype(np.uint64), found.column("times").to_numpy()
+    order = np.argsort(h)
+    return h[order], t[order]
+
+
 def _keys(s: np.ndarray, hot: np.ndarray, heat: np.ndarray, small: int) -> tuple[np.ndarray, int]:
     """The keys of a set: its prefix, unless no partner can be large, and its subsets, with their size in the lowest bits, if it is small."""
     n = len(s)
@@ -89,9 +144,10 @@ def _keys(s: np.ndarray, hot: np.ndarray, heat: np.ndarray, small: int) -> tuple
     if n > small or DEN * n // NUM > small:
         order = s
         if len(hot):
-            at = np.searchsorted(hot, s)
+            bits = s >> np.uint64(64 - COUNT_BITS)
+            at = np.searchsorted(hot, bits)
             at[at == len(hot)] = 0
-            order = s[np.lexsort((s, np.where(hot[at] == s, heat[at], 0)))]
+            order = s[np.lexsort((s, np.where(hot[at] == bits, heat[at], 0)))]
         prefix = order[: prefix_length(n)]
     if n > small:
         return prefix, len(prefix)
@@ -102,22 +158,14 @@ def _keys(s: np.ndarray, hot: np.ndarray, heat: np.ndarray, small: int) -> tuple
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """doc_id, n, f1, f2 (a fingerprint of the set) of every row; besides, rows without n hold shingles common in one stretch of texts and their counts."""
-    bound_batches(docs.sparkSession)
+    """doc_id, n, f1, f2 (a fingerprint of the set) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", SLICE):
             sets = shingle_sets(batch.column("text").to_pylist(), WIDTH)
-            n = [len(s) for s in sets]
             f1 = [int(s.sum(dtype=np.uint64).astype(np.int64)) for s in sets]
             f2 = [int(mixed(s).sum(dtype=np.uint64).astype(np.int64)) for s in sets]
-            common, times = np.unique(np.concatenate(sets), return_counts=True)
-            common, times = common[times >= HOT_LOCAL].astype(np.int64), times[times >= HOT_LOCAL]
-            none = [None] * len(common)
-            yield pa.RecordBatch.from_arrays([
-                pa.array([*batch.column("doc_id").to_pylist(), *none], pa.int64()), pa.array([*n, *none], pa.int32()),
-                pa.array([*f1, *common.tolist()], pa.int64()), pa.array([*f2, *times.tolist()], pa.int64()),
-            ], ["doc_id", "n", "f1", "f2"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(len, sets), pa.int32()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64())], ["doc_id", "n", "f1", "f2"])
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, n int, f1 bigint, f2 bigint")
 
@@ -126,7 +174,7 @@ def entered(docs: DataFrame, hot: np.ndarray, heat: np.ndarray, small: int) -> D
     """doc_id, n, keys, n_prefix, bitmap of every document that has shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", SLICE):
             sets = shingle_sets(batch.column("text").to_pylist(), WIDTH)
             found = [(d, s, *_keys(s, hot, heat, small)) for d, s in zip(batch.column("doc_id").to_pylist(), sets, strict=True) if len(s)]
             yield pa.RecordBatch.from_arrays([
@@ -229,7 +277,7 @@ def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", SLICE):
             sets = shingle_sets(batch.column("text").to_pylist(), WIDTH)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.astype(np.int64) for s in sets], pa.list_(pa.int64()))], ["doc_id", "set"])
 
@@ -297,19 +345,12 @@ def heavy_links(docs: DataFrame, ties: DataFrame, sizes: DataFrame) -> DataFrame
     return with_sets.groupBy("component", "i", "j").applyInArrow(_block_pair, "a bigint, b bigint")
 
 
-def hot_shingles(common: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    rows = common.groupBy("shingle").agg(F.sum("times").alias("times")).where(F.col("times") >= HOT).orderBy(F.desc("times"), "shingle").limit(HOT_KEPT).collect()
-    h, t = np.array([r[0] for r in rows], np.int64).view(np.uint64), np.array([r[1] for r in rows], np.int64)
-    order = np.argsort(h)
-    return h[order], t[order]
-
-
 def ngram_classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs."""
     spark: SparkSession = docs.sparkSession
-    both = cut(described(docs))
-    facts = both.where("n is not null")
-    hot, heat = hot_shingles(both.where("n is null").select(F.col("f1").alias("shingle"), F.col("f2").alias("times")))
+    bound_batches(spark)
+    hot, heat = hot_shingles(docs)
+    facts = cut(described(docs))
     kinds = facts.where("n > 0 and doc_id is not null").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"))
     kinds = cut(kinds)
     histogram = {r["n"]: r["k"] for r in kinds.where(F.col("n") <= MOST_SMALL).groupBy("n").agg(F.count("*").alias("k")).collect()}
@@ -333,7 +374,9 @@ def ngram_classes(docs: DataFrame) -> DataFrame:
     links = found.where("kind = 0").select("a", "b").union(verified)
     if not ties.isEmpty():
         links = links.union(heavy_links(docs, ties, entries.select("doc_id", "n")))
-    classes = components(cut(links.distinct()))
+    links = cut(links.distinct())
+    drop_table(spark, table)
+    classes = components(links)
     known = kinds.join(classes, kinds["rep"] == classes["id"], "left").select("f1", "f2", "n", F.coalesce("component", "rep").alias("component_id"))
     return facts.join(known, ["f1", "f2", "n"], "left").select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
