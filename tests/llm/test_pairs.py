@@ -85,6 +85,24 @@ def test_lines_brute_force(spark):
     assert len(set(got.values())) < len(got) / 2
 
 
+def test_lines_recall(spark):
+    """Groups by edit similarity alone, whatever the hashes: one word of 10, 20 or 50 replaced, or one character of a short line."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(3, 9)))
+    rows = []
+    for n in [10, 20, 50] * 40:
+        words = [word() for _ in range(n)]
+        at = rng.randrange(n)
+        rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join([*words[:at], "new", *words[at + 1 :]]))]
+    for _ in range(40):
+        line = "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(7, 14)))
+        rows += [(len(rows), line), (len(rows) + 1, line[:3] + "z" + line[4:])]
+    got = reported(linededup.dedup_report(spark.createDataFrame(rows, "doc_id bigint, text string")))
+    pairs = [(a, b) for (a, x), (b, y) in zip(rows[::2], rows[1::2], strict=True) if distance(x, y) <= int(max(len(x), len(y)) * (1 - linededup.SIMILAR))]
+    found = [got[b, 0] == (a, 0) for a, b in pairs]
+    assert len(pairs) > 140 and sum(found) >= 0.97 * len(found) and all(f for f, (a, _) in zip(found, pairs, strict=True) if a >= 240)
+
+
 def test_lines_odd(odd, none):
     rows = [(r.doc_id, r.text) for r in odd.collect() if r.doc_id not in (9, 10)]
     assert reported(linededup.dedup_report(odd.where("doc_id is null or doc_id not in (9, 10)"))) == brute_lines(rows)
