@@ -103,6 +103,15 @@ def test_lines_recall(spark):
     assert len(pairs) > 140 and sum(found) >= 0.97 * len(found) and all(f for f, (a, _) in zip(found, pairs, strict=True) if a >= 240)
 
 
+def test_lines_numbers(spark):
+    """A repeated line of numbers is one line; lines that differ in numbers are linked by edit similarity alone."""
+    rows = [(1, "12 | 345 | 6789"), (2, "12, 345, 6789"), (3, "Total 12"), (4, "Total 3 4"), (5, "Chapter 1"), (6, "Chapter 2"), (7, "1987"), (8, "1988")]
+    got = reported(linededup.dedup_report(spark.createDataFrame(rows, "doc_id bigint, text string")))
+    assert {k[0]: v[0] for k, v in got.items()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 5, 7: 7, 8: 8}
+    kept = linededup.drop_lines(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 4, 5, 7, 8]
+
+
 def test_lines_odd(odd, none):
     rows = [(r.doc_id, r.text) for r in odd.collect() if r.doc_id not in (9, 10)]
     assert reported(linededup.dedup_report(odd.where("doc_id is null or doc_id not in (9, 10)"))) == brute_lines(rows)
