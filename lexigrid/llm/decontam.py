@@ -23,6 +23,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What stands between words. Splitting on it is ten times as fast as extracting its complement.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW, ANCHORS = 10, 2
+#: Terms that a proximity match asks for.
+NEAR_ANCHORS = 3
 #: Tables of the benchmark's size are broadcast up to so many rows (some 100 bytes each), and shuffled beyond.
 BROADCAST_ROWS = 200_000
 
@@ -54,13 +56,18 @@ def postings(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.join(wanted, "term").select("term", "d", "h", "pos")
 
 
+def term_counts(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """term, cf: how often the corpus holds each term of the items that it holds at all."""
+    vocabulary = items.select(F.explode("words").alias("term")).distinct()
+    return docs.select(F.explode(terms(F.col("text"))).alias("term")).join(small(vocabulary), "term").groupBy("term").agg(F.count("*").alias("cf"))
+
+
 def anchors_of(docs: DataFrame, items: DataFrame, window: int = WINDOW, anchors: int = ANCHORS) -> DataFrame:
     """item_id, start, and `at`, the places in the item of the rarest terms of the window that starts there.
 
     A window with a term that no document holds can't occur and has no row.
     """
-    vocabulary = items.select(F.explode("words").alias("term")).distinct()
-    counts = docs.select(F.explode(terms(F.col("text"))).alias("term")).join(small(vocabulary), "term").groupBy("term").agg(F.count("*").alias("cf"))
+    counts = term_counts(docs, items)
     width = F.least(F.col("n"), F.lit(window))
     places = (
         items.withColumn("width", width).withColumn("start", F.explode(F.sequence(F.lit(0), F.col("n") - F.col("width"))))
@@ -145,14 +152,19 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return own.join(hits, (F.col("_own_d") == F.col("_hit_d")) & (F.col("_own_h") == F.col("_hit_h")), "left_anti").select(*docs.columns)
 
 
-def proximity(docs: DataFrame, benchmark: DataFrame, slack: int = 10, anchors: int = ANCHORS) -> DataFrame:
+def proximity(docs: DataFrame, benchmark: DataFrame, slack: int = 10, anchors: int = NEAR_ANCHORS) -> DataFrame:
     """(doc_id, item_id): documents that hold an item's `anchors` rarest terms, in any order, within the item's width plus slack.
 
+    The terms are chosen among those that some document holds, so unknown words of an item don't count; an item with fewer
+    known terms asks for those it has, and one without any occurs nowhere.
+
     Postings of the rarest term meet the others in blocks of that span, so no list is paired with a whole other list.
     """
     rows, items = keyed(docs), items_of(benchmark)
-    wide = anchors_of(rows, items, 1 << 30, anchors).join(items.select("item_id", "n", "words"), "item_id")
-    named = cut(wide.select("item_id", (F.col("n") + slack).alias("span"), F.array_distinct(F.transform("at", lambda q: F.get("words", q))).alias("terms")))
+    known = items.select("item_id", "n", F.explode(F.array_distinct("words")).alias("term")).join(small(cut(term_counts(rows, items))), "term")
+    in_order = F.sort_array(F.collect_list(F.struct("cf", "term")))  # at most an item's length
+    rarest = known.groupBy("item_id", "n").agg(F.slice(in_order, 1, anchors).alias("rare"))
+    named = cut(rarest.select("item_id", (F.col("n") + slack).alias("span"), F.transform("rare", lambda r: r["term"]).alias("terms")))
     index = build_index(rows, named.select(F.explode("terms").alias("term")).distinct(), new_table(docs.sparkSession, "postings"))
     flat = small(cut(named.select("item_id", "span", F.size("terms").alias("n_terms"), F.posexplode("terms").alias("k", "term"))))
     found = index.join(flat, "term").withColumn("block", F.floor(F.col("pos") / F.col("span")))

@@ -85,6 +85,13 @@ def test_proximity(spark):
     assert sorted(r.doc_id for r in decontam.proximity(docs, benchmark, slack=5).collect()) == [1, 2]
 
 
+def test_proximity_with_unknown_words(spark):
+    """Words that no document holds don't keep an item from matching; three terms are asked for."""
+    docs = spark.createDataFrame([(1, "gamma x alpha y beta"), (2, "alpha beta"), (3, "alpha beta " + "x " * 40 + "gamma")], "doc_id bigint, text string")
+    benchmark = spark.createDataFrame([(7, "alpha beta gamma unknown1"), (8, "unknown2 unknown3")], "item_id bigint, text string")
+    assert [(r.doc_id, r.item_id) for r in decontam.proximity(docs, benchmark, slack=5).collect()] == [(1, 7)]
+
+
 def test_segmentations():
     """The forward pass sums what enumerating all segmentations gives."""
     probs = {"▁a": (0.2, 0.1), "▁": (0.1, 0.3), "a": (0.3, 0.1), "b": (0.1, 0.2), "ab": (0.2, 0.2), "▁ab": (0.1, 0.05)}
