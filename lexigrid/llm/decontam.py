@@ -41,8 +41,10 @@ def small(df: DataFrame) -> DataFrame:
 
 
 def items_of(benchmark: DataFrame) -> DataFrame:
-    """item_id, words, n: items that have words; a row that is there twice counts once."""
-    return cut(benchmark.select("item_id", terms(F.col("text")).alias("words")).distinct().withColumn("n", F.size("words")).where("n > 0"))
+    """item, item_id, words, n: items that have words; a row that is there twice counts once. item is a hash of item_id and words, so
+    rows that share an item_id keep apart and a null one is an item as well."""
+    rows = benchmark.select("item_id", terms(F.col("text")).alias("words")).distinct().withColumn("n", F.size("words")).where("n > 0")
+    return cut(rows.withColumn("item", F.xxhash64(F.col("item_id").isNull(), "item_id", "words")))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -63,7 +65,7 @@ def term_counts(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def anchors_of(docs: DataFrame, items: DataFrame, window: int = WINDOW, anchors: int = ANCHORS) -> DataFrame:
-    """item_id, start, and `at`, the places in the item of the rarest terms of the window that starts there.
+    """item, start, and `at`, the places in the item of the rarest terms of the window that starts there.
 
     A window with a term that no document holds can't occur and has no row.
     """
@@ -72,12 +74,12 @@ def anchors_of(docs: DataFrame, items: DataFrame, window: int = WINDOW, anchors:
     places = (
         items.withColumn("width", width).withColumn("start", F.explode(F.sequence(F.lit(0), F.col("n") - F.col("width"))))
         .withColumn("q", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("width") - 1)))
-        .select("item_id", "start", "width", "q", F.get("words", F.col("q")).alias("term"))
+        .select("item", "start", "width", "q", F.get("words", F.col("q")).alias("term"))
     )
     found = places.join(small(cut(counts)), "term")
     in_order = F.sort_array(F.collect_list(F.struct("cf", "term", "q")))  # at most `window` of them
-    windows = found.groupBy("item_id", "start", "width").agg(in_order.alias("rare")).where(F.size("rare") == F.col("width"))
-    return windows.select("item_id", "start", F.transform(F.slice("rare", 1, anchors), lambda r: r["q"]).alias("at"))
+    windows = found.groupBy("item", "start", "width").agg(in_order.alias("rare")).where(F.size("rare") == F.col("width"))
+    return windows.select("item", "start", F.transform(F.slice("rare", 1, anchors), lambda r: r["q"]).alias("at"))
 
 
 def build_index(docs: DataFrame, wanted: DataFrame, path: str) -> DataFrame:
@@ -88,13 +90,13 @@ def build_index(docs: DataFrame, wanted: DataFrame, path: str) -> DataFrame:
 
 
 def alignments(index: DataFrame, items: DataFrame, windows: DataFrame) -> DataFrame:
-    """(d, h, item_id, shift): the item's word 0 would stand at the document's word `shift`, and some window's anchors all agree."""
-    places = windows.select("item_id", F.explode("at").alias("q")).distinct().join(items, "item_id").select("item_id", "q", F.get("words", F.col("q")).alias("term"))
-    met = index.join(small(cut(places)), "term").select("d", "h", "item_id", (F.col("pos") - F.col("q")).alias("shift"), "q")
-    met = met.groupBy("d", "h", "item_id", "shift").agg(F.collect_set("q").alias("qs"))  # at most an item's length
-    per_item = windows.groupBy("item_id").agg(F.collect_set("at").alias("windows"))
+    """(d, h, item, shift): the item's word 0 would stand at the document's word `shift`, and some window's anchors all agree."""
+    places = windows.select("item", F.explode("at").alias("q")).distinct().join(items, "item").select("item", "q", F.get("words", F.col("q")).alias("term"))
+    met = index.join(small(cut(places)), "term").select("d", "h", "item", (F.col("pos") - F.col("q")).alias("shift"), "q")
+    met = met.groupBy("d", "h", "item", "shift").agg(F.collect_set("q").alias("qs"))  # at most an item's length
+    per_item = windows.groupBy("item").agg(F.collect_set("at").alias("windows"))
     whole = F.exists("windows", lambda at: F.size(F.array_except(at, F.col("qs"))) == 0)
-    return met.join(small(cut(per_item)), "item_id").where(whole).select("d", "h", "item_id", "shift")
+    return met.join(small(cut(per_item)), "item").where(whole).select("d", "h", "item", "shift")
 
 
 def _matches(words: Column, c: Column, window: int) -> Column:
@@ -109,7 +111,7 @@ def _matches(words: Column, c: Column, window: int) -> Column:
 
 def verified(docs: DataFrame, candidates: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs' d, h, n_words and hits: an array of (item_id, spans) of the exact phrase matches."""
-    with_words = candidates.join(small(items.select("item_id", "words")), "item_id")
+    with_words = candidates.join(small(items.select("item", "item_id", "words")), "item")
     of_doc = with_words.groupBy("d", "h").agg(F.collect_list(F.struct("item_id", "shift", "words")).alias("c"))  # at most a document's words times the items
     rows = docs.join(of_doc, ["d", "h"], "left")
     checked = lambda w: F.filter(F.transform(F.coalesce(F.col("c"), F.array().cast(of_doc.schema["c"].dataType)), lambda c: F.struct(c["item_id"].alias("item_id"), _matches(w, c, window).alias("spans"))), lambda m: F.size(m["spans"]) > 0)
@@ -127,7 +129,7 @@ def phrase_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, anc
     """d, h, n_words, hits of every row of docs."""
     rows, items = keyed(docs), items_of(benchmark)
     windows = cut(anchors_of(rows, items, window, anchors))
-    wanted = windows.select("item_id", F.explode("at").alias("q")).join(items, "item_id").select(F.get("words", F.col("q")).alias("term")).distinct()
+    wanted = windows.select("item", F.explode("at").alias("q")).join(items, "item").select(F.get("words", F.col("q")).alias("term")).distinct()
     table = new_table(docs.sparkSession, "postings")
     candidates = cut(alignments(build_index(rows, cut(wanted), table), items, windows))
     drop_table(docs.sparkSession, table)
@@ -161,20 +163,20 @@ def proximity(docs: DataFrame, benchmark: DataFrame, slack: int = 10, anchors: i
     Postings of the rarest term meet the others in blocks of that span, so no list is paired with a whole other list.
     """
     rows, items = keyed(docs), items_of(benchmark)
-    known = items.select("item_id", "n", F.explode(F.array_distinct("words")).alias("term")).join(small(cut(term_counts(rows, items))), "term")
+    known = items.select("item", "n", F.explode(F.array_distinct("words")).alias("term")).join(small(cut(term_counts(rows, items))), "term")
     in_order = F.sort_array(F.collect_list(F.struct("cf", "term")))  # at most an item's length
-    rarest = known.groupBy("item_id", "n").agg(F.slice(in_order, 1, anchors).alias("rare"))
-    named = cut(rarest.select("item_id", (F.col("n") + slack).alias("span"), F.transform("rare", lambda r: r["term"]).alias("terms")))
+    rarest = known.groupBy("item", "n").agg(F.slice(in_order, 1, anchors).alias("rare"))
+    named = cut(rarest.select("item", (F.col("n") + slack).alias("span"), F.transform("rare", lambda r: r["term"]).alias("terms")))
     index = build_index(rows, named.select(F.explode("terms").alias("term")).distinct(), new_table(docs.sparkSession, "postings"))
-    flat = small(cut(named.select("item_id", "span", F.size("terms").alias("n_terms"), F.posexplode("terms").alias("k", "term"))))
+    flat = small(cut(named.select("item", "span", F.size("terms").alias("n_terms"), F.posexplode("terms").alias("k", "term"))))
     found = index.join(flat, "term").withColumn("block", F.floor(F.col("pos") / F.col("span")))
-    first = found.where("k = 0").select("d", "h", "item_id", "span", "n_terms", F.col("pos").alias("p"), F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)).alias("block"))
-    near = first.join(found.where("k > 0").select("d", "h", "item_id", "block", "k", "pos"), ["d", "h", "item_id", "block"], "left").where("pos is null or abs(pos - p) < span")
+    first = found.where("k = 0").select("d", "h", "item", "span", "n_terms", F.col("pos").alias("p"), F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)).alias("block"))
+    near = first.join(found.where("k > 0").select("d", "h", "item", "block", "k", "pos"), ["d", "h", "item", "block"], "left").where("pos is null or abs(pos - p) < span")
     # All terms lie in a stretch of `span` that holds p: for one of the two ends, every term has a place on the right side.
-    ends = near.groupBy("d", "h", "item_id", "span", "n_terms", "p").agg(F.sort_array(F.collect_set(F.struct("pos", "k"))).alias("ps"))
+    ends = near.groupBy("d", "h", "item", "span", "n_terms", "p").agg(F.sort_array(F.collect_set(F.struct("pos", "k"))).alias("ps"))
     at = F.transform(F.sequence(F.lit(0), F.col("span") - 1), lambda s: F.col("p") - s)
     fits = F.exists(at, lambda a: F.size(F.array_distinct(F.transform(F.filter("ps", lambda x: (x["pos"] >= a) & (x["pos"] < a + F.col("span"))), lambda x: x["k"]))) == F.col("n_terms") - 1)
-    return ends.where(fits).select(F.when(F.col("d") != -1, F.col("d")).alias("doc_id"), "item_id").distinct()
+    return ends.where(fits).join(small(items.select("item", "item_id")), "item").select(F.when(F.col("d") != -1, F.col("d")).alias("doc_id"), "item_id").distinct()
 
 
 def oracle() -> str:

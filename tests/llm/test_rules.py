@@ -79,6 +79,16 @@ def test_hot_phrase(spark):
     assert_same(decontam.decontaminate(docs, benchmark).toPandas(), on_duckdb(decontam.oracle(), documents=docs, benchmark=benchmark))
 
 
+def test_items_that_share_an_id(spark):
+    docs = spark.createDataFrame([(1, "one two three"), (2, "four five six"), (3, "seven eight nine"), (4, "ten")], "doc_id bigint, text string")
+    benchmark = spark.createDataFrame([(7, "one two three"), (7, "four five six"), (None, "seven eight nine")], "item_id bigint, text string")
+    got = decontam.decontaminate(docs, benchmark)
+    assert {r.doc_id for r in got.where("contaminated").collect()} == {1, 2, 3}
+    named = benchmark.where("item_id is not null")  # pandas would make numbers beside a null floats
+    assert_same(decontam.decontaminate(docs, named).toPandas(), on_duckdb(decontam.oracle(), documents=docs, benchmark=named))
+    assert [r.doc_id for r in decontam.drop_contaminated(docs, benchmark).collect()] == [4]
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "alpha x x beta"), (2, "beta alpha"), (3, "alpha " + "x " * 40 + "beta"), (4, "alpha"), (5, None)], "doc_id bigint, text string")
     benchmark = spark.createDataFrame([(7, "alpha beta")], "item_id bigint, text string")
