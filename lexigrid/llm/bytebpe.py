@@ -5,9 +5,15 @@ recursive query joins neighbouring rows with the merge table and contracts each
 until no pair is left. Decoding: the ids, with their positions, are joined with the vocabulary and put together by an
 ordered aggregate.
 
+Long words are first cut where no token of the vocabulary can span, as no contraction crosses such a place. Pieces that
+stay long are contracted by a second recursive query, which takes the occurrences of the pair of least rank in one step,
+from the left up to the first whose contraction brings forth a pair of lower rank, which is what the plain rule does one by
+one; it runs for a bounded number of steps and goes on from where it ended. Words are dealt to the queries in groups
+bounded by the rows that all their steps can have, so memory doesn't grow with a text or a word.
+
 Defined results: null and empty texts have no ids and decode to no bytes; ties between pairs go to the leftmost;
-repeated rows are encoded alike; extra columns are ignored. A word longer than LONG_WORD bytes would need as many
-recursion steps as it has bytes, over as many rows: it is contracted by the same rule with a heap instead.
+repeated rows are encoded alike; extra columns, whatever their names, are ignored; texts and words of any length are
+encoded whole. decode() gives null and empty lists the empty text, and bytes that are not UTF-8 replacement characters.
 """
 
 from __future__ import annotations
@@ -15,7 +21,6 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
-import heapq
 import itertools
 from collections.abc import Iterator
 
@@ -29,9 +34,14 @@ from pyspark.sql import functions as F
 
 from .common import bound_batches, slices
 
-LONG_WORD = 400
-#: Words whose ids a worker keeps; beyond it the worker starts afresh, so its memory is bounded.
-CACHE_WORDS = 800_000
+#: Bytes from which on words are cut where no token spans, and up to which a piece is contracted pair by pair.
+LONG_WORD = 48
+#: Rows that all steps of a recursive query may have together; tokens that are decoded at once; matches held at once.
+STEP_ROWS, DECODED, MATCHES = 1_000_000, 200_000, 200_000
+#: Megabytes that DuckDB may hold, which is enough for pieces of so many tokens.
+MEMORY, ROWS_HELD = 256, 250_000
+#: Bytes of words and their ids that a worker keeps, each with ENTRY bytes for the table; beyond them it starts afresh.
+CACHE_BYTES, ENTRY = 32 << 20, 200
 
 CONTRACT = """
 WITH RECURSIVE state(step, word, pos, token) AS (
@@ -51,6 +61,37 @@ SELECT word, list(token ORDER BY pos) AS ids
 FROM state JOIN (SELECT word, max(step) AS step FROM state GROUP BY word) USING (word, step) GROUP BY word
 """
 
+CONTRACT_RUNS = """
+WITH RECURSIVE state(step, word, pos, token) AS (
+    SELECT 0, word, pos, token FROM start
+  UNION ALL
+    (WITH pairs AS (
+        SELECT step, word, pos, token, lead(token) OVER by_pos AS right_token, row_number() OVER by_pos AS place
+        FROM state WHERE step < $steps WINDOW by_pos AS (PARTITION BY word ORDER BY pos)),
+    ranked AS (
+        SELECT p.*, m.merged, min(m.merged) OVER (PARTITION BY word) AS least
+        FROM pairs p LEFT JOIN merges m ON m.left_token = p.token AND m.right_token = p.right_token),
+    hits AS (
+        SELECT word, place, merged, row_number() OVER (PARTITION BY word ORDER BY place) AS nth, left_token, after_token
+        FROM (SELECT *, lag(token) OVER by_place AS left_token, lead(token, 2) OVER by_place AS after_token FROM ranked WINDOW by_place AS (PARTITION BY word ORDER BY place))
+        WHERE merged = least),
+    apart AS (
+        SELECT *, lag(place) OVER (PARTITION BY word ORDER BY place) AS last_place
+        FROM (SELECT *, row_number() OVER (PARTITION BY word, place - nth ORDER BY place) AS in_run FROM hits) WHERE in_run % 2 = 1),
+    judged AS (
+        SELECT a.word, a.place, a.merged, min(a.place) FILTER (least(x.merged, y.merged) < a.merged) OVER (PARTITION BY a.word) AS first_lower
+        FROM apart a
+        LEFT JOIN merges x ON x.left_token = CASE WHEN a.last_place = a.place - 2 THEN a.merged ELSE a.left_token END AND x.right_token = a.merged
+        LEFT JOIN merges y ON y.left_token = a.merged AND y.right_token = a.after_token),
+    chosen AS (SELECT word, place, merged FROM judged WHERE first_lower IS NULL OR place <= first_lower)
+    SELECT r.step + 1, r.word, r.pos, coalesce(c.merged, r.token)::INTEGER
+    FROM ranked r LEFT JOIN chosen c ON c.word = r.word AND c.place = r.place LEFT JOIN chosen d ON d.word = r.word AND d.place = r.place - 1
+    WHERE r.least IS NOT NULL AND d.word IS NULL)
+)
+SELECT word, list(token ORDER BY pos) AS ids, any_value(step) AS step
+FROM state JOIN (SELECT word, max(step) AS step FROM state GROUP BY word) USING (word, step) GROUP BY word
+"""
+
 DECODE = """
 SELECT d.doc AS doc, array_to_string(list(v.piece ORDER BY d.pos), '') AS text
 FROM encoded d JOIN vocabulary v ON v.token = d.token GROUP BY d.doc
@@ -74,7 +115,8 @@ class Codec:
         #: Words that are in the vocabulary as a whole are never contracted.
         self.whole = {w.decode(): np.uint32(rank).tobytes() for w, rank in self.ranks.items() if _is_text(w)}
         self.cache: dict[str, bytes] = dict(self.whole)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+        self.held = 0
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": f"{MEMORY}MB", "temp_directory": ""})
         merges = [(self.ranks[w[:i]], self.ranks[w[i:]], rank) for w, rank in self.ranks.items() for i in range(1, len(w)) if w[:i] in self.ranks and w[i:] in self.ranks]
         left, right, merged = (pa.array(x, pa.int32()) for x in zip(*merges, strict=True))
         self._table("merges", left_token=left, right_token=right, merged=merged)
@@ -83,64 +125,93 @@ class Codec:
         self.single = np.zeros(256, np.int32)
         for b in range(256):
             self.single[b] = self.ranks[bytes([b])]
+        #: Tokens of two bytes, and the runs of three bytes that occur in tokens: what stands over a place that a token spans.
+        self.twos = np.zeros(1 << 16, bool)
+        self.twos[[w[0] << 8 | w[1] for w in self.ranks if len(w) == 2]] = True
+        self.threes = np.array(sorted({w[i] << 16 | w[i + 1] << 8 | w[i + 2] for w in self.ranks for i in range(len(w) - 2)}), np.int32)
 
     def _table(self, name: str, **columns: pa.Array) -> None:
         self.db.register("given", pa.table(columns))
         self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
         self.db.unregister("given")
 
-    def _learn(self, words: list[str]) -> None:
-        """Put the ids of these words, none of which is in the vocabulary, in the cache."""
-        raw = [w.encode() for w in words]
-        short = [w for w in raw if len(w) <= LONG_WORD]
-        names = [n for n, w in zip(words, raw, strict=True) if len(w) <= LONG_WORD]
-        for n, w in zip(words, raw, strict=True):
-            if len(w) > LONG_WORD:
-                self.cache[n] = np.array(self._contract_long(w), "<u4").tobytes()
-        if not short:
-            return
-        sizes = np.fromiter(map(len, short), np.int64, len(short))
+    def _pieces(self, word: bytes) -> list[bytes]:
+        """The word cut where no token spans: a token over a place is those two bytes, or has three bytes in a row over it."""
+        x = np.frombuffer(word, np.uint8).astype(np.int32)
+        spanned = self.twos[x[:-1] << 8 | x[1:]]
+        three = x[:-2] << 16 | x[1:-1] << 8 | x[2:]
+        at = np.searchsorted(self.threes, three)
+        found = self.threes[np.minimum(at, len(self.threes) - 1)] == three
+        spanned[:-1] |= found
+        spanned[1:] |= found
+        edges = [0, *(np.flatnonzero(~spanned) + 1).tolist(), len(word)]
+        return [word[i:j] for i, j in itertools.pairwise(edges)]
+
+    def _contract(self, query: str, words: list[np.ndarray], **given: int) -> list[tuple[int, np.ndarray, int]]:
+        """(number, tokens, step) of each word, given as tokens."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
         ends = np.cumsum(sizes)
-        tokens = self.single[np.frombuffer(b"".join(short), np.uint8)]
-        word = np.repeat(np.arange(len(short), dtype=np.int32), sizes)
         pos = (np.arange(ends[-1]) - np.repeat(ends - sizes, sizes)).astype(np.int32)
-        self.db.register("start", pa.table({"word": word, "pos": pos, "token": tokens}))
-        found = self.db.sql(CONTRACT).to_arrow_table()
+        self.db.register("start", pa.table({"word": np.repeat(np.arange(len(words), dtype=np.int32), sizes), "pos": pos, "token": np.concatenate(words)}))
+        # A single piece of over ROWS_HELD tokens needs more than the usual memory, in proportion to its length.
+        self.db.execute(f"SET memory_limit = '{max(MEMORY, MEMORY * int(ends[-1]) // ROWS_HELD)}MB'")
+        found = self.db.sql(query, params=given or None).to_arrow_table()
         self.db.unregister("start")
         ids = found.column("ids").combine_chunks()
-        flat, offsets = ids.values.to_numpy().astype("<u4"), ids.offsets.to_numpy()
-        for n, w in enumerate(found.column("word").to_numpy()):
-            self.cache[names[w]] = flat[offsets[n] : offsets[n + 1]].tobytes()
-
-    def _contract_long(self, word: bytes) -> list[int]:
-        """The same rule for a long word: a heap of (rank, place) over a linked list of parts."""
-        parts: list[bytes | None] = [word[i : i + 1] for i in range(len(word))]
-        after, before = list(range(1, len(word) + 1)), list(range(-1, len(word) - 1))
-        heap: list[tuple[int, int, bytes, bytes]] = []
-
-        def offer(i: int) -> None:
-            if i >= 0 and after[i] < len(word) and (rank := self.ranks.get(parts[i] + parts[after[i]])) is not None:
-                heapq.heappush(heap, (rank, i, parts[i], parts[after[i]]))
-
-        for i in range(len(word)):
-            offer(i)
-        while heap:
-            _, i, a, b = heapq.heappop(heap)
-            j = after[i]
-            if parts[i] != a or j >= len(word) or parts[j] != b:
-                continue
-            parts[i], parts[j], after[i] = a + b, None, after[j]
-            if after[j] < len(word):
-                before[after[j]] = i
-            offer(before[i])
-            offer(i)
-        return [self.ranks[p] for p in parts if p is not None]
+        flat, offsets = ids.values.to_numpy().astype(np.int32), ids.offsets.to_numpy()
+        steps = found.column("step").to_pylist() if given else [0] * found.num_rows
+        return [(w, flat[offsets[n] : offsets[n + 1]], steps[n]) for n, w in enumerate(found.column("word").to_pylist())]
+
+    def _short(self, pieces: list[bytes]) -> Iterator[tuple[bytes, np.ndarray]]:
+        start, rows = 0, 0
+        for n in range(len(pieces) + 1):
+            if n == len(pieces) or rows + len(pieces[n]) ** 2 > STEP_ROWS:
+                if n > start:
+                    group = pieces[start:n]
+                    yield from ((group[w], ids) for w, ids, _ in self._contract(CONTRACT, [self.single[np.frombuffer(p, np.uint8)] for p in group]))
+                start, rows = n, 0
+            if n < len(pieces):
+                rows += len(pieces[n]) ** 2
+
+    def _long(self, pieces: list[bytes]) -> Iterator[tuple[bytes, np.ndarray]]:
+        left = [(p, self.single[np.frombuffer(p, np.uint8)]) for p in pieces]
+        while left:
+            rows, n = 0, 0
+            while n < len(left) and (not n or rows + len(left[n][1]) <= STEP_ROWS // 32):
+                rows += len(left[n][1])
+                n += 1
+            group, left = left[:n], left[n:]
+            steps = max(4, STEP_ROWS // rows)
+            for w, ids, step in self._contract(CONTRACT_RUNS, [tokens for _, tokens in group], steps=steps):
+                if step < steps:
+                    yield group[w][0], ids
+                else:
+                    left.insert(0, (group[w][0], ids))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [self.pattern.findall(t) for t in texts]
-        if len(self.cache) > CACHE_WORDS:
-            self.cache = dict(self.whole)
+    def _learn(self, words: list[str]) -> None:
+        """Put the ids of these words, none of which is in the vocabulary, in the cache."""
+        cut = [(n, self._pieces(w) if len(w) > LONG_WORD else [w]) for n, w in ((n, n.encode()) for n in words)]
+        known = {p: np.array([rank], np.int32) for _, ps in cut if len(ps) > 1 for p in ps if (rank := self.ranks.get(p)) is not None}
+        new = sorted({p for _, ps in cut for p in ps} - known.keys())
+        known.update(self._short([p for p in new if len(p) <= LONG_WORD]))
+        known.update(self._long([p for p in new if len(p) > LONG_WORD]))
+        for n, ps in cut:
+            ids = known[ps[0]] if len(ps) == 1 else np.concatenate([known[p] for p in ps])
+            self.cache[n] = ids.astype("<u4").tobytes()
+            self.held += len(n) + len(self.cache[n]) + ENTRY
+
+    def _words(self, text: str) -> Iterator[list[str]]:
+        """The words of a text, at most MATCHES at a time."""
+        if len(text) <= MATCHES:
+            yield self.pattern.findall(text)
+            return
+        found = self.pattern.finditer(text)
+        while some := [m.group() for m in itertools.islice(found, MATCHES)]:
+            yield some
+
+    def _encode(self, cut: list[list[str]]) -> list[bytes]:
+        if self.held > CACHE_BYTES:
+            self.cache, self.held = dict(self.whole), 0
         new: set[str] = set()
         for words in cut:
             new.update(itertools.filterfalse(self.cache.__contains__, words))
@@ -148,16 +219,35 @@ class Codec:
             self._learn(sorted(new))
         return [b"".join(map(self.cache.__getitem__, words)) for words in cut]
 
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        short = iter(self._encode([self.pattern.findall(t) for t in texts if len(t) <= MATCHES]))
+        return [next(short) if len(t) <= MATCHES else b"".join(self._encode([words])[0] for words in self._words(t)) for t in texts]
+
     def decode(self, ids: list[bytes]) -> list[bytes]:
-        sizes = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
-        tokens = np.frombuffer(b"".join(ids), "<u4").astype(np.int32)
-        self.db.register("encoded", pa.table({"doc": np.repeat(np.arange(len(ids), dtype=np.int32), sizes), "pos": np.arange(len(tokens)), "token": tokens}))
-        found = self.db.execute(DECODE).fetchall()
+        """The bytes of each row of ids, at most DECODED of them in one query."""
+        out: list[list[bytes]] = [[] for _ in ids]
+        group: list[tuple[int, bytes]] = []
+        held = 0
+        for n, x in enumerate(ids):
+            for at in range(0, len(x), 4 * DECODED):
+                part = x[at : at + 4 * DECODED]
+                if held + len(part) > 4 * DECODED and group:
+                    self._decode(group, out)
+                    group, held = [], 0
+                group.append((n, part))
+                held += len(part)
+        self._decode(group, out)
+        return [b"".join(x) for x in out]
+
+    def _decode(self, group: list[tuple[int, bytes]], out: list[list[bytes]]) -> None:
+        sizes = np.fromiter((len(x) // 4 for _, x in group), np.int64, len(group))
+        tokens = np.frombuffer(b"".join(x for _, x in group), "<u4").astype(np.int32)
+        self.db.register("encoded", pa.table({"doc": np.repeat(np.arange(len(group), dtype=np.int32), sizes), "pos": np.arange(len(tokens)), "token": tokens}))
+        found = dict(self.db.execute(DECODE).fetchall())
         self.db.unregister("encoded")
-        out = [b""] * len(ids)
-        for doc, text in found:
-            out[doc] = text.encode("latin-1")
-        return out
+        for k, (n, _) in enumerate(group):
+            out[n].append(found.get(k, "").encode("latin-1"))
 
 
 @functools.cache
@@ -191,7 +281,8 @@ def encode(docs: DataFrame, ranks_path: str | None = None, pattern: str | None =
 
 
 def decode(tokens: DataFrame, ranks_path: str | None = None, pattern: str | None = None, ids: str = "ids") -> DataFrame:
-    """doc_id and the text of each row's ids; bytes that are not UTF-8 become replacement characters."""
+    """doc_id and the text of each row's ids; a null or empty list has the empty text; bytes that are not UTF-8 become replacement
+    characters; an id that is not in the vocabulary adds nothing; repeated rows are decoded alike; extra columns are ignored."""
     ranks_path, pattern = ranks_path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), pattern or public_tokenizers.PATTERN
     bound_batches(tokens.sparkSession)
 

@@ -41,6 +41,27 @@ def test_bpe_long_words(codec, library):
     assert codec.encode(texts) == [np.array(library.encode_ordinary(t), "<u4").tobytes() for t in texts]
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.text(alphabet="ab", min_size=49, max_size=400) | st.text(alphabet="theinrs", min_size=49, max_size=300) | st.text(alphabet="漢字é-", min_size=49, max_size=200))
+def test_bpe_long_words_of_few_letters(codec, library, text):
+    assert codec.encode([text])[0] == np.array(library.encode_ordinary(text), "<u4").tobytes()
+
+
+def test_bpe_bounded(codec, library, monkeypatch):
+    """Many long words, a very long one and a long text: whole, and equal to the library's, within the memory that DuckDB has."""
+    rng = random.Random(4)
+    word = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    han = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(2000))
+    texts = [
+        " ".join(word(han, rng.randint(10, 40)) for _ in range(4000)), " ".join(word("etaoinshrdlu", 300) for _ in range(20)), "etaoin" * 30_000, "a" * 1_000_000,
+        " ".join(word("abcdefghijklmnopqrstuvwxyz", rng.randint(4, 12)) for _ in range(120_000)),
+    ]
+    ids = codec.encode(texts)
+    assert ids == [np.array(library.encode_ordinary(t), "<u4").tobytes() for t in texts]
+    assert codec.decode(ids) == [t.encode() for t in texts]
+    assert codec.held <= 2 * bytebpe.CACHE_BYTES
+
+
 def test_bpe_odd(spark, odd, none, library):
     got = bytebpe.encode(odd).collect()
     assert len(got) == odd.count()
