@@ -26,13 +26,13 @@ def normalized(url: str | None) -> str | None:
     name, colon, port = host.rpartition(":")
     if colon and DEFAULT_PORTS.get(scheme) == port:
         host = name
-    path = quote(unquote(_without_params(parts.path or "/")[0]), safe=PATH_SAFE) + _without_params(parts.path)[1]
+    path = "".join(quote(unquote(x), safe=PATH_SAFE) for x in _without_params(parts.path or "/"))
     query = urlencode(sorted(parse_qsl(parts.query, keep_blank_values=True)))
     return f"{scheme}:{'//' + host if host else ''}{path}{'?' + query if query else ''}"
 
 
 def _without_params(path: str) -> tuple[str, str]:
-    """The path and the `;params` of its last segment, which are left alone."""
+    """The path and the `;params` of its last segment, which are quoted by themselves."""
     head, slash, last = path.rpartition("/")
     name, semicolon, params = last.partition(";")
     return head + slash + name, semicolon + params if params else ""
