@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -9,6 +11,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Arrow batches that reach Python hold at most so many rows and bytes, so a worker's memory doesn't grow with the table.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
@@ -49,6 +52,15 @@ def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     return df.toDF(*names), dict(zip(df.columns, names, strict=True))
 
 
+#: Tables of so many narrow rows (some 100 bytes each) are broadcast; larger ones are joined by a shuffle.
+BROADCAST_ROWS = 200_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if it is counted to be small."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows with their lineage cut by a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
@@ -79,6 +91,14 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4 <
             held += size
         if start < batch.num_rows:
             yield batch.slice(start)
+    trim()
+
+
+def trim() -> None:
+    """Give what a worker has freed back to the system, so workers that wait for their next task hold little."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def parallelism(spark: SparkSession) -> int:

@@ -17,10 +17,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, new_table, numbered, small
 
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
@@ -32,6 +32,8 @@ RULES = {
 #: Good tuning documents in a thousand that may exceed a cutoff.
 LEVELS = (0, 1, 2, 5, 10)
 RISK, DELTA, LIFT = 0.02, 0.05, 5
+#: Rates are counted by so many buckets to 1 at first, and the rest in one.
+BUCKETS, MOST_BUCKETS = 4096, 1 << 16
 CAPITALS, MARKS = r"[^A-Z\x{C0}-\x{D6}\x{D8}-\x{DE}]+", r"[^!?]+"
 
 
@@ -101,16 +103,18 @@ def _policies(tuning: DataFrame) -> DataFrame:
     """A row for each stratum and level: the cutoff of each rule that is of use, else null."""
     rates = F.array(*[F.struct(F.lit(r).alias("rule"), rate(r).alias("x")) for r in RULES])
     long = cut(tuning.select("stratum", "quality", F.explode(rates).alias("r")).select("stratum", "quality", "r.rule", "r.x"))
-    good = long.where("quality = 1")
-    # The (n * level / 1000 + 1)-th largest value, from the counts of the distinct values in the upper tail, so that no task sorts a stratum's labels.
-    counts = good.groupBy("stratum", "rule").agg(F.count("*").alias("n"), F.expr(f"percentile(x, {1 - max(LEVELS) / 1000 - 0.02})").alias("least"))
-    values = good.join(F.broadcast(counts.drop("n")), ["stratum", "rule"]).where("x >= least").groupBy("stratum", "rule", "x").agg(F.count("*").alias("c"))
-    tail = values.groupBy("stratum", "rule").agg(F.sort_array(F.collect_list(F.struct("x", "c")), asc=False).alias("tail"))
-    levels = counts.select("stratum", "rule", F.explode(F.lit(list(LEVELS))).alias("level"), (F.floor(F.col("n") * F.col("level") / 1000) + 1).alias("nth"))
-    none = F.struct(F.lit(0).cast("bigint").alias("seen"), F.lit(None).cast("double").alias("x"))
-    nth_value = F.aggregate("tail", none, lambda a, v: F.struct((a["seen"] + v["c"]).alias("seen"), F.when(a["seen"] >= F.col("nth"), a["x"]).otherwise(v["x"]).alias("x")), lambda a: a["x"])
-    cutoffs = levels.join(F.broadcast(tail), ["stratum", "rule"]).select("stratum", "rule", "level", nth_value.alias("cutoff"))
-    caught = long.join(F.broadcast(cutoffs), ["stratum", "rule"]).groupBy("stratum", "rule", "level", "cutoff").agg(
+    good = long.where("quality = 1").withColumn("bucket", F.least(F.floor(F.col("x") * BUCKETS), F.lit(MOST_BUCKETS)).cast("int"))
+    # The (n * level / 1000 + 1)-th largest value: first the bucket that holds it, then its place among the values of that bucket
+    # alone, so no task holds the values of a stratum.
+    down = Window.partitionBy("stratum", "rule").orderBy(F.desc("bucket"))
+    sums = good.groupBy("stratum", "rule", "bucket").agg(F.count("*").alias("c")).withColumns({"upto": F.sum("c").over(down), "n": F.sum("c").over(Window.partitionBy("stratum", "rule"))})
+    nth = sums.withColumn("level", F.explode(F.lit(list(LEVELS)))).withColumn("nth", F.floor(F.col("n") * F.col("level") / 1000) + 1)
+    nth = cut(nth.where("nth <= upto and nth > upto - c").select("stratum", "rule", "level", "bucket", (F.col("nth") - F.col("upto") + F.col("c")).alias("nth")))
+    values = good.groupBy("stratum", "rule", "bucket", "x").agg(F.count("*").alias("c")).join(small(nth), ["stratum", "rule", "bucket"])
+    in_bucket = Window.partitionBy("stratum", "rule", "level").orderBy(F.desc("x"))
+    cutoffs = values.withColumn("upto", F.sum("c").over(in_bucket)).where("nth <= upto and nth > upto - c").select("stratum", "rule", "level", F.col("x").alias("cutoff"))
+    cutoffs = small(cut(cutoffs))
+    caught = long.join(cutoffs, ["stratum", "rule"]).groupBy("stratum", "rule", "level", "cutoff").agg(
         F.count_if((F.col("quality") == 1) & (F.col("x") > F.col("cutoff"))).alias("good_out"), F.count_if(F.col("quality") == 1).alias("good"),
         F.count_if((F.col("quality") == 0) & (F.col("x") > F.col("cutoff"))).alias("bad_out"), F.count_if(F.col("quality") == 0).alias("bad"),
     )
@@ -130,11 +134,12 @@ def calibrate(features: DataFrame, labels: DataFrame, stratum: str = "lang") ->
     """A row for each stratum that has an accepted level: its cutoffs. features: from counted(), with doc_id."""
     marks = labels.where("quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     counts = sorted({c for pair in RULES.values() for c in pair})
-    half = (F.col("doc_id") * 48271) % 2147483647 % 2
+    half = F.pmod(F.col("doc_id"), F.lit(2147483647)) * 48271 % 2147483647 % 2
     labelled = cut(features.where("not base_failed").withColumn("stratum", F.coalesce(F.col(stratum), F.lit(""))).select("doc_id", "stratum", *counts).join(marks, "doc_id").withColumn("half", half))
     tuning, holdout = labelled.where("half = 0"), labelled.where("half <> 0")
     policies = cut(_policies(tuning))
-    tried = lambda rows: rows.join(F.broadcast(policies), "stratum").withColumn("out", rejects())
+    few = small(policies)
+    tried = lambda rows: rows.join(few, "stratum").withColumn("out", rejects())
     held = tried(holdout.where("quality = 1")).groupBy("stratum", "level").agg(F.count("*").alias("n"), F.count_if("out").alias("k"))
     tests = held.agg(F.count("*").alias("tests"))
     caught = tried(tuning.where("quality = 0")).groupBy("stratum", "level").agg(F.count_if("out").alias("caught"))
@@ -143,13 +148,13 @@ def calibrate(features: DataFrame, labels: DataFrame, stratum: str = "lang") ->
         .join(caught, ["stratum", "level"]).where("caught > 0")
     )
     best = accepted.groupBy("stratum").agg(F.max(F.struct("caught", (-F.col("level")).alias("minus"))).alias("best")).select("stratum", (-F.col("best.minus")).alias("level"))
-    return policies.join(F.broadcast(best), ["stratum", "level"])
+    return policies.join(best, ["stratum", "level"])
 
 
 def judge(features: DataFrame, policy: DataFrame, stratum: str = "lang") -> DataFrame:
     """features with `kept`. policy: from calibrate(), a row a stratum."""
     named = policy.drop("level").withColumnRenamed("stratum", "_stratum")
-    joined = features.join(F.broadcast(named), F.coalesce(F.col(stratum), F.lit("")) == F.col("_stratum"), "left")
+    joined = features.join(small(named), F.coalesce(F.col(stratum), F.lit("")) == F.col("_stratum"), "left")
     return joined.withColumn("kept", ~F.col("base_failed") & ~rejects()).drop(*named.columns)
 
 
@@ -163,11 +168,14 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that are kept, with their own columns. Two passes over the texts; only numbers are shuffled."""
-    own = docs.columns
-    inner = docs.select("doc_id", "lang", "text")
-    policy = cut(calibrate(cut(counted(inner).drop("text")), labels))
-    return judge(counted(docs.select(F.struct(*own).alias("_row"), "lang", "text")), policy).where("kept").select(*[F.col("_row").getField(c).alias(c) for c in own])
+    """The rows of docs that are kept, with their own columns. The texts are counted once: rows and counts are written to a
+    table in the shared folder, from which the cutoffs are chosen and the kept rows are read."""
+    own, at = numbered(docs)
+    table = new_table(docs.sparkSession, "counted")
+    counted(own.withColumns({"doc_id": F.col(at["doc_id"]), "lang": F.col(at["lang"])}), at["text"]).write.parquet(table)
+    rows = docs.sparkSession.read.parquet(table)
+    policy = cut(calibrate(rows, labels))
+    return judge(rows, policy).where("kept").select(*at.values()).toDF(*docs.columns)
 
 
 def oracle() -> str:
@@ -193,7 +201,7 @@ features AS (
   FROM base b JOIN ll ON ll.id = b.id LEFT JOIN covered c ON c.id = b.id),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM features),
 labelled AS (
-  SELECT f.*, q.quality, (f.doc_id * 48271) % 2147483647 % 2 AS half
+  SELECT f.*, q.quality, ((f.doc_id % 2147483647 + 2147483647) % 2147483647 * 48271) % 2147483647 % 2 AS half
   FROM f JOIN (SELECT doc_id, min(quality) AS quality FROM labels WHERE quality IN (0, 1) GROUP BY doc_id) q ON q.doc_id = f.doc_id WHERE NOT base_failed),
 tuning AS (SELECT * FROM labelled WHERE half = 0),
 long AS ({values}),
