@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop_table, new_table, parallelism
+from .common import cut, drop_table, new_table, numbered, parallelism, small
 from .quality import let
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -25,8 +25,6 @@ BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW, ANCHORS = 10, 2
 #: Terms that a proximity match asks for.
 NEAR_ANCHORS = 3
-#: Tables of the benchmark's size are broadcast up to so many rows (some 100 bytes each), and shuffled beyond.
-BROADCAST_ROWS = 200_000
 
 
 def terms(text: Column) -> Column:
@@ -36,10 +34,6 @@ def terms(text: Column) -> Column:
     return F.array_remove(F.split(low, BETWEEN, -1), "")
 
 
-def small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def items_of(benchmark: DataFrame) -> DataFrame:
     """item, item_id, words, n: items that have words; a row that is there twice counts once. item is a hash of item_id and words, so
     rows that share an item_id keep apart and a null one is an item as well."""
@@ -47,9 +41,14 @@ def items_of(benchmark: DataFrame) -> DataFrame:
     return cut(rows.withColumn("item", F.xxhash64(F.col("item_id").isNull(), "item_id", "words")))
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """A row's identity: doc_id and a hash of its text, so rows that share a doc_id keep apart."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1)).alias("d"), F.xxhash64("text").alias("h"), "text")
+#: Stands for a null doc_id in d, which with h only tells texts apart; results take the row's own doc_id.
+NO_ID = -(1 << 63)
+
+
+def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, and d and h by which postings name a text: doc_id and a hash of the text, so rows that share a doc_id keep apart."""
+    own = F.col(doc_id).cast("bigint")
+    return docs.select(own.alias("doc_id"), F.coalesce(own, F.lit(NO_ID).cast("bigint")).alias("d"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
 
 
 def postings(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -100,22 +99,27 @@ def alignments(index: DataFrame, items: DataFrame, windows: DataFrame) -> DataFr
 
 
 def _matches(words: Column, c: Column, window: int) -> Column:
-    """The first document places of the windows of candidate c that really occur, as (from, to)."""
-    agree = F.transform(c["words"], lambda w, q: F.coalesce(F.get(words, c["shift"] + q) == w, F.lit(False)))
-    width = F.least(F.size(c["words"]), F.lit(window))
-    # runs: at each place of the item, how many words up to it agree
-    runs = F.aggregate(agree, F.array().cast("array<int>"), lambda a, x: F.concat(a, F.array(F.when(x, F.coalesce(F.get(a, F.size(a) - 1), F.lit(0)) + 1).otherwise(0))))
-    spans = F.transform(runs, lambda r, q: F.when(r >= width, F.struct((c["shift"] + q - width + 1).alias("a"), (c["shift"] + q + 1).alias("b"))))
-    return F.filter(spans, lambda s: s.isNotNull())
+    """The stretches (from, to) of the document in which windows of candidate c really occur: what lies between two words that
+    don't agree, if it is as long as a window."""
+    n = F.size(c["words"])
+    differs = F.transform(c["words"], lambda w, q: F.when(F.coalesce(F.get(words, c["shift"] + q) == w, F.lit(False)), F.lit(None)).otherwise(q))
+    edges = F.concat(F.array(F.lit(-1)), F.filter(differs, lambda q: q.isNotNull()), F.array(n))
+    spans = let(edges, lambda e: F.transform(F.sequence(F.lit(0), F.size(e) - 2), lambda k: F.struct((c["shift"] + F.get(e, k) + 1).alias("a"), (c["shift"] + F.get(e, k + 1)).alias("b"))))
+    return F.filter(spans, lambda s: s["b"] - s["a"] >= F.least(n, F.lit(window)))
 
 
 def verified(docs: DataFrame, candidates: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs' d, h, n_words and hits: an array of (item_id, spans) of the exact phrase matches."""
+    """docs' doc_id, d, h, n_words and hits: an array of (item_id, spans) of the exact phrase matches.
+
+    Only texts that have a candidate meet the items; all others give their numbers of words, and no text of theirs is shuffled.
+    """
     with_words = candidates.join(small(items.select("item", "item_id", "words")), "item")
     of_doc = with_words.groupBy("d", "h").agg(F.collect_list(F.struct("item_id", "shift", "words")).alias("c"))  # at most a document's words times the items
-    rows = docs.join(of_doc, ["d", "h"], "left")
-    checked = lambda w: F.filter(F.transform(F.coalesce(F.col("c"), F.array().cast(of_doc.schema["c"].dataType)), lambda c: F.struct(c["item_id"].alias("item_id"), _matches(w, c, window).alias("spans"))), lambda m: F.size(m["spans"]) > 0)
-    return rows.withColumn("_r", let(terms(F.col("text")), lambda w: F.struct(F.size(w).cast("bigint").alias("n_words"), checked(w).alias("hits")))).select("d", "h", "_r.n_words", "_r.hits")
+    texts = docs.join(small(cut(candidates.select("d", "h").distinct())), ["d", "h"], "left_semi").dropDuplicates(["d", "h"])
+    checked = lambda w: F.filter(F.transform("c", lambda c: F.struct(c["item_id"].alias("item_id"), _matches(w, c, window).alias("spans"))), lambda m: F.size(m["spans"]) > 0)
+    hits = cut(texts.join(of_doc, ["d", "h"]).select("d", "h", let(terms(F.col("text")), checked).alias("hits")).where(F.size("hits") > 0))
+    numbers = docs.select("doc_id", "d", "h", F.size(terms(F.col("text"))).cast("bigint").alias("n_words"))
+    return numbers.join(small(hits), ["d", "h"], "left").withColumn("hits", F.coalesce("hits", F.array().cast(hits.schema["hits"].dataType)))
 
 
 def union_length(spans: Column) -> Column:
@@ -125,33 +129,34 @@ def union_length(spans: Column) -> Column:
     return F.aggregate(spans, start, step, lambda s: s["n"])
 
 
-def phrase_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, anchors: int = ANCHORS) -> DataFrame:
-    """d, h, n_words, hits of every row of docs."""
-    rows, items = keyed(docs), items_of(benchmark)
+def phrase_hits(rows: DataFrame, benchmark: DataFrame, window: int = WINDOW, anchors: int = ANCHORS) -> DataFrame:
+    """doc_id, d, h, n_words, hits of every row. rows: from keyed()."""
+    items = items_of(benchmark)
     windows = cut(anchors_of(rows, items, window, anchors))
     wanted = windows.select("item", F.explode("at").alias("q")).join(items, "item").select(F.get("words", F.col("q")).alias("term")).distinct()
-    table = new_table(docs.sparkSession, "postings")
+    table = new_table(rows.sparkSession, "postings")
     candidates = cut(alignments(build_index(rows, cut(wanted), table), items, windows))
-    drop_table(docs.sparkSession, table)
+    drop_table(rows.sparkSession, table)
     return verified(rows, candidates, items, window)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every row of docs."""
-    hits = phrase_hits(docs, benchmark)
+    hits = phrase_hits(keyed(docs), benchmark)
     spans = F.sort_array(F.flatten(F.transform("hits", lambda m: m["spans"])))
     items = F.sort_array(F.array_distinct(F.transform("hits", lambda m: m["item_id"].cast("string"))))
     return hits.select(
-        F.when(F.col("d") != -1, F.col("d")).alias("doc_id"), "n_words", union_length(spans).alias("n_hit"),
+        "doc_id", "n_words", union_length(spans).alias("n_hit"),
         F.size(items).cast("bigint").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"),
     )
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs in which no window of the benchmark occurs."""
-    hits = phrase_hits(docs, benchmark).where(F.size("hits") > 0).select(F.col("d").alias("_hit_d"), F.col("h").alias("_hit_h")).distinct()
-    own = docs.withColumns({"_own_d": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1)), "_own_h": F.xxhash64("text")})
-    return own.join(hits, (F.col("_own_d") == F.col("_hit_d")) & (F.col("_own_h") == F.col("_hit_h")), "left_anti").select(*docs.columns)
+    own, at = numbered(docs)
+    hits = cut(phrase_hits(keyed(own, at["doc_id"], at["text"]), benchmark).where(F.size("hits") > 0).select("d", "h").distinct())
+    key = {"d": F.coalesce(F.col(at["doc_id"]).cast("bigint"), F.lit(NO_ID).cast("bigint")), "h": F.xxhash64(at["text"])}
+    return own.withColumns(key).join(small(hits), ["d", "h"], "left_anti").select(*at.values()).toDF(*docs.columns)
 
 
 def proximity(docs: DataFrame, benchmark: DataFrame, slack: int = 10, anchors: int = NEAR_ANCHORS) -> DataFrame:
@@ -160,7 +165,8 @@ def proximity(docs: DataFrame, benchmark: DataFrame, slack: int = 10, anchors: i
     The terms are chosen among those that some document holds, so unknown words of an item don't count; an item with fewer
     known terms asks for those it has, and one without any occurs nowhere.
 
-    Postings of the rarest term meet the others in blocks of that span, so no list is paired with a whole other list.
+    Postings of the rarest term meet the others in blocks of that span, so no list is paired with a whole other list. Null and
+    empty texts match nothing, repeated rows give one pair, empty tables none; a doc_id of -2**63 reads as null.
     """
     rows, items = keyed(docs), items_of(benchmark)
     known = items.select("item", "n", F.explode(F.array_distinct("words")).alias("term")).join(small(cut(term_counts(rows, items))), "term")
@@ -176,7 +182,7 @@ def proximity(docs: DataFrame, benchmark: DataFrame, slack: int = 10, anchors: i
     ends = near.groupBy("d", "h", "item", "span", "n_terms", "p").agg(F.sort_array(F.collect_set(F.struct("pos", "k"))).alias("ps"))
     at = F.transform(F.sequence(F.lit(0), F.col("span") - 1), lambda s: F.col("p") - s)
     fits = F.exists(at, lambda a: F.size(F.array_distinct(F.transform(F.filter("ps", lambda x: (x["pos"] >= a) & (x["pos"] < a + F.col("span"))), lambda x: x["k"]))) == F.col("n_terms") - 1)
-    return ends.where(fits).join(small(items.select("item", "item_id")), "item").select(F.when(F.col("d") != -1, F.col("d")).alias("doc_id"), "item_id").distinct()
+    return ends.where(fits).join(small(items.select("item", "item_id")), "item").select(F.when(F.col("d") != F.lit(NO_ID).cast("bigint"), F.col("d")).alias("doc_id"), "item_id").distinct()
 
 
 def oracle() -> str:
