@@ -5,8 +5,9 @@ links in its subtree and its place among its siblings. Boosted trees, trained he
 known, give each node the log odds that it holds article text, given that its parent does. Decoding takes the labelling
 of greatest total likelihood; under a rejected node everything is rejected, so no ancestor and descendant contradict.
 
-Defined results: a null or empty page, and one whose nodes are all rejected, has the empty text; unclosed and stray tags
-are repaired as browsers do for the common cases; character references are decoded; a page of any length is read whole;
+Defined results: a null or empty page, and one whose blocks are all rejected, has the empty text (but what stands outside
+all blocks belongs to the root, which is always kept); unclosed and stray tags are repaired as browsers do for the common
+cases; a drawing ends where a block begins, and embedded elements without an end tag are empty; character references are decoded; a page of any length is read whole;
 repeated pages give equal texts; extra columns are ignored.
 """
 
@@ -16,6 +17,7 @@ import functools
 import math
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -29,8 +31,10 @@ from .common import bound_batches, slices
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is never text of the page.
-SILENT = set("script style noscript template svg math iframe object head title select option textarea button audio video canvas datalist".split())
+SILENT = set("script style noscript template svg annotation annotation-xml iframe object head title select option textarea button audio video canvas datalist".split())
 BLOCK = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
+#: Elements whose content a browser reads as text up to their end tag, whatever it holds.
+RAW = set("script style textarea title iframe noscript".split())
 #: What a start tag closes, and within what.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 #: Words in class, id, role and the like, by what they usually stand for. Fixed values.
@@ -50,17 +54,19 @@ HINTS = {
 _HINT_OF = {w: k for k, ws in HINTS.items() for w in ws.split()}
 HINT_NAMES = list(HINTS)
 TAGS = "article main section div p h1 h2 h3 ul ol li table tr td nav header footer aside form blockquote figure pre a span b address dl label".split()
+_END = re.compile(r"</([a-zA-Z][a-zA-Z0-9-]*)")
 _WORD = re.compile(r"[a-z]+(?:-[a-z]+)*")
 _SENTENCE = re.compile(r"[.!?,;:]")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "parts", "depth", "index")
+    __slots__ = ("tag", "attrs", "parent", "parts", "depth", "index", "owner")
 
     def __init__(self, tag: str, attrs: dict, parent: Node | None):
         self.tag, self.attrs, self.parent, self.parts = tag, attrs, parent, []
         self.depth = parent.depth + 1 if parent else 0
         self.index = -1
+        self.owner = self
 
 
 class TreeBuilder(HTMLParser):
@@ -69,6 +75,8 @@ class TreeBuilder(HTMLParser):
         self.root = Node("#root", {}, None)
         self.at = self.root
         self.quiet = 0
+        #: End tags still to come, by element.
+        self.ends: Counter = Counter()
 
     def _close(self, names: set[str], within: set[str]) -> None:
         node = self.at
@@ -80,9 +88,12 @@ class TreeBuilder(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if self.quiet:
-            if tag not in VOID and tag == self.at.tag:
-                self.quiet += 1
-            return
+            if self.at.tag == "svg" and tag in BLOCK:  # a block can't be in a drawing: it ends there
+                self.at, self.quiet = self.at.parent, 0
+            else:
+                if tag not in VOID and tag == self.at.tag:
+                    self.quiet += 1
+                return
         if tag in BLOCK:
             self._close({"p"}, {"button", "td", "th", "table", "div", "article", "section", "li", "blockquote", "body"})
         if tag in CLOSES:
@@ -92,7 +103,8 @@ class TreeBuilder(HTMLParser):
         node = Node(tag, dict(attrs), self.at)
         self.at.parts.append(node)
         if tag in SILENT:
-            if tag not in ("head",):
+            # An element that is never closed would silence the rest of the page; it is taken as empty, if its content isn't raw text.
+            if tag != "head" and (tag in RAW or tag == "svg" or self.ends[tag] > 0):
                 self.at, self.quiet = node, 1
         elif tag not in VOID:
             self.at = node
@@ -105,10 +117,12 @@ class TreeBuilder(HTMLParser):
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
-        if tag in SILENT and tag not in VOID:
+        if tag in SILENT and tag not in VOID and self.quiet and self.at.tag == tag:
+            self.ends[tag] += 1
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
+        self.ends[tag] -= 1
         if self.quiet:
             if tag == self.at.tag:
                 self.quiet -= 1
@@ -134,6 +148,7 @@ class TreeBuilder(HTMLParser):
 
 def parse(html: str | None) -> Node:
     builder = TreeBuilder()
+    builder.ends.update(m.lower() for m in _END.findall(html or ""))
     builder.feed(html or "")
     builder.close()
     return builder.root
@@ -149,14 +164,15 @@ def nodes_of(root: Node) -> list[Node]:
         if node.tag in BLOCK or node is root:
             node.index = len(out)
             out.append(node)
+        else:
+            node.owner = node.parent.owner
         stack += [x for x in reversed(node.parts) if isinstance(x, Node)]
     return out
 
 
 def _owner(node: Node) -> Node:
-    while node.index < 0 and node.parent:
-        node = node.parent
-    return node
+    """The block around a node, or the node itself if it is one."""
+    return node.owner
 
 
 WIDTH = 24 + len(HINT_NAMES) * 2 + len(TAGS)
