@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, cut, drop_table, new_table, parallelism, slices
+from .common import bound_batches, cut, drop_table, new_table, numbered, parallelism, slices, trim
 from .components import components
 from .shingles import folded, mixed, shingle_sets
 
@@ -128,6 +128,7 @@ def hot_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     def count(table: pa.Table) -> pa.Table:
         values, times = np.unique(np.concatenate([unpacked(x) for x in table.column("run").to_pylist()]), return_counts=True)
         often = times >= HOT
+        trim()
         return pa.table({"shingle": values[often], "times": times[often].astype(np.int64)})
 
     counted = docs.select("text").mapInArrow(runs, "range int, run binary").groupBy("range").applyInArrow(count, "shingle bigint, times bigint")
@@ -324,6 +325,7 @@ def _block_pair(table: pa.Table) -> pa.Table:
     sets = [flat[i:j] for i, j in itertools.pairwise(offsets.tolist())]
     same = table.column("i")[0].as_py() == table.column("j")[0].as_py()
     found = _forest(table.column("doc_id").to_pylist(), table.column("side").to_numpy(), sets, same)
+    trim()
     return pa.table({"a": pa.array([min(x) for x in found], pa.int64()), "b": pa.array([max(x) for x in found], pa.int64())})
 
 
@@ -383,8 +385,9 @@ def ngram_classes(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id is the smallest of its class; of rows that share it, all."""
-    kept = ngram_classes(docs).where("component_id = doc_id or doc_id is null").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_kept")), "left_semi")
+    own, at = numbered(docs)
+    kept = ngram_classes(own.select(F.col(at["doc_id"]).alias("doc_id"), F.col(at["text"]).alias("text"))).where("component_id = doc_id or doc_id is null").select(F.col("doc_id").alias("kept")).distinct()
+    return own.join(kept, F.col(at["doc_id"]).cast("bigint").eqNullSafe(F.col("kept")), "left_semi").toDF(*docs.columns)
 
 
 def oracle() -> str:
