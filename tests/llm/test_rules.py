@@ -2,13 +2,17 @@
 
 import itertools
 import math
+import random
+import time
+from collections import defaultdict
 
 import duckdb
+import numpy as np
 import pytest
 from helpers import DATA, assert_same, connection
 from pyspark.sql import functions as F
 
-from lexigrid.llm import decontam, htmlmain, langid, quality, queries
+from lexigrid.llm import decontam, htmlmain, langid, ngramjoin, quality, queries
 from lexigrid.llm.boosting import BoostedTrees
 
 
@@ -182,3 +186,111 @@ def test_boosting():
     x = rng.normal(size=(2000, 4))
     y = ((x[:, 0] > 0) ^ (x[:, 1] > 0.5)).astype(float)
     assert ((BoostedTrees().fit(x[:1500], y[:1500]).log_odds(x[1500:]) > 0) == (y[1500:] > 0)).mean() > 0.95
+
+
+# Findings of the first round
+
+
+def test_quality_large_ids(spark):
+    """Hashed doc_ids beyond what a product of 64 bits holds, and negative ones, equal the SQL."""
+    rows = [(n * 10**16 * (-1) ** n, " ".join(f"w{n}x{k}" for k in range(60)) + (" ###" * (n % 5)), "en") for n in range(1, 80)]
+    marks = [(r[0], n % 2, 0) for n, r in enumerate(rows)]
+    db = duckdb.connect()
+    db.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, lang VARCHAR)")
+    db.executemany("INSERT INTO documents VALUES (?, ?, ?)", rows)
+    db.execute("CREATE TABLE labels (doc_id BIGINT, quality INTEGER, toxic INTEGER)")
+    db.executemany("INSERT INTO labels VALUES (?, ?, ?)", marks)
+    got = quality.quality(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), spark.createDataFrame(marks, "doc_id bigint, quality int, toxic int"))
+    assert {tuple(r) for r in got.collect()} == set(db.sql(quality.oracle()).fetchall())
+
+
+def test_contamination_odd_items(spark):
+    """doc_id -1 stays, items may share an item_id or have none, an item of one word is a window."""
+    a, b, c = (" ".join(f"{x}{n}" for n in range(10)) for x in "abc")
+    docs = [(-1, f"so {a} it goes"), (None, f"{b} and {b}"), (5, c), (6, "nothing of it"), (7, f"{c} alone {a}")]
+    items = [("i", a), ("i", b), (None, c), ("one", "alone"), ("i", a)]
+    db = duckdb.connect()
+    db.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    db.executemany("INSERT INTO documents VALUES (?, ?)", docs)
+    db.execute("CREATE TABLE benchmark (item_id VARCHAR, text VARCHAR)")
+    db.executemany("INSERT INTO benchmark VALUES (?, ?)", items)
+    got = decontam.decontaminate(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id string, text string"))
+    found = {(r.doc_id, r.n_words, r.n_hit, r.contaminated) for r in got.collect()}
+    assert found == {(-1, 13, 10, True), (None, 21, 20, True), (5, 10, 10, True), (6, 3, 0, False), (7, 21, 21, True)}
+    assert found == {(r[0], r[1], r[2], r[5]) for r in db.sql(decontam.oracle()).fetchall()}
+
+
+def test_stages_clashing_names(spark):
+    """Names that operators use themselves, and names with dots, do no harm in any filtering stage."""
+    text = " ".join(f"word{n}" for n in range(70))
+    docs = spark.createDataFrame([(1, text, "en", 1, "x", "y")], "doc_id bigint, text string, lang string, `a.b` int, _hit_d string, kept string")
+    none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
+    bench = spark.createDataFrame([("i", "quite another text of more than ten words that occurs nowhere at all")], "item_id string, text string")
+    for kept in (quality.keep_good(docs, none), decontam.drop_contaminated(docs, bench), ngramjoin.keep_one(docs)):
+        assert kept.columns == docs.columns and kept.count() == 1
+
+
+def test_letters_alone():
+    model = langid.Model(["en", "fr"], {"a": (0.5, 0.1), "ab": (0.2, 0.3), "b": (0.3, 0.6)}, 1e-7)
+    assert model.predict(["½ ² 123 _ ٣", None, "", "ab"])[0] == ["und", "und", "und", "fr"]
+
+
+def test_long_words_are_summed_whole():
+    """The forward pass with scaling against a plain one in exact fractions, and the logarithms of training against products."""
+    from fractions import Fraction
+
+    probs = {"a": (0.5, 0.1), "ab": (0.2, 0.3), "b": (0.3, 0.6), "aba": (0.05, 0.01)}
+    model = langid.Model(["x", "y"], probs, 1e-7)
+    for word in ("ab" * 30, "aab" * 100, "abzab" * 40):
+        for k in range(2):
+            part, ways = langid.spelled(word), [Fraction(1)]
+            for end in range(1, len(part) + 1):
+                ways.append(sum((ways[s] * Fraction(probs[part[s:end]][k] if part[s:end] in probs else 1e-7 if end - s == 1 else 0) for s in range(max(0, end - 3), end)), Fraction(0)))
+            exact = math.log(ways[-1].numerator) - math.log(ways[-1].denominator)
+            assert abs(model.log_probs([word])[0][k] - exact) < 1e-6 * abs(exact)
+    own = {p: x[0] for p, x in probs.items()}
+    for word in ("abababa", "abzaab"):
+        edges = [(s, e, langid.spelled(word)[s:e], p) for e in range(1, len(word) + 2) for s in range(max(0, e - 3), e) if (p := own.get(langid.spelled(word)[s:e], 1e-7 if e - s == 1 else None))]
+        logs = defaultdict(float)
+        langid._expected_long(len(word) + 1, edges, 3, logs)
+        plain = langid.expected([word], [3], own, 1e-7, 3)
+        assert all(abs(plain[p] - x) < 1e-9 for p, x in logs.items()) and sum(len(p) * x for p, x in plain.items()) == pytest.approx(3 * (len(word) + 1))
+
+
+def test_formulas_and_unclosed_elements():
+    prose = "It was a long day by the river, and the old mill stood still in the sun. " * 4
+    page = "<html><body><article><p>{}</p><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> hold. {}</p>{}<p>First after. {}</p><p>Second after. {}</p></article></body></html>"
+    for broken in ("", "<svg><path d='M0'>", "<object data='x.swf'>", "<svg><text>drawn</text></svg>", "<object><p>no plugin</p></object>"):
+        (text,) = htmlmain.main_texts([page.format(prose, prose, broken, prose, prose)], htmlmain.trained())
+        assert "Let x=2 hold." in text and "First after." in text and "Second after." in text and "drawn" not in text and "no plugin" not in text
+
+
+def test_decode_against_all_labellings():
+    """The decoded labels have the greatest likelihood of all in which nothing lies under a rejected node."""
+    rng = random.Random(9)
+    for _ in range(60):
+        nodes = [htmlmain.Node("#root", {}, None)]
+        for _ in range(rng.randint(1, 7)):
+            nodes.append(htmlmain.Node("div", {}, rng.choice(nodes)))
+            nodes[-1].parent.parts.append(nodes[-1])
+        nodes = htmlmain.nodes_of(nodes[0])
+        odds = np.array([rng.gauss(0, 2) for _ in nodes])
+        inside, outside = -np.logaddexp(0, -odds), -np.logaddexp(0, odds)
+
+        def likelihood(kept):
+            total = inside[0]
+            for k, node in enumerate(nodes[1:], 1):
+                if kept[node.parent.index]:
+                    total += inside[k] if kept[k] else outside[k]
+                elif kept[k]:
+                    return -math.inf
+            return total
+
+        best = max(likelihood((True, *rest)) for rest in itertools.product([False, True], repeat=len(nodes) - 1))
+        assert likelihood(htmlmain.decode(nodes, odds)) == pytest.approx(best)
+
+
+def test_nested_inline_tags_take_linear_time():
+    began = time.perf_counter()
+    htmlmain.main_texts(["<p>" + "<b>word " * 20_000], htmlmain.trained())
+    assert time.perf_counter() - began < 5
