@@ -37,11 +37,11 @@ from .common import bound_batches, slices
 #: Bytes from which on words are cut where no token spans, and up to which a piece is contracted pair by pair.
 LONG_WORD = 48
 #: Rows that all steps of a recursive query may have together; tokens that are decoded at once; matches held at once.
-STEP_ROWS, DECODED, MATCHES = 1_000_000, 200_000, 200_000
+STEP_ROWS, DECODED, MATCHES = 2_000_000, 400_000, 200_000
 #: Megabytes that DuckDB may hold, which is enough for pieces of so many tokens.
 MEMORY, ROWS_HELD = 256, 250_000
 #: Bytes of words and their ids that a worker keeps, each with ENTRY bytes for the table; beyond them it starts afresh.
-CACHE_BYTES, ENTRY = 32 << 20, 200
+CACHE_BYTES, ENTRY = 96 << 20, 200
 
 CONTRACT = """
 WITH RECURSIVE state(step, word, pos, token) AS (
@@ -192,7 +192,7 @@ class Codec:
         """Put the ids of these words, none of which is in the vocabulary, in the cache."""
         cut = [(n, self._pieces(w) if len(w) > LONG_WORD else [w]) for n, w in ((n, n.encode()) for n in words)]
         known = {p: np.array([rank], np.int32) for _, ps in cut if len(ps) > 1 for p in ps if (rank := self.ranks.get(p)) is not None}
-        new = sorted({p for _, ps in cut for p in ps} - known.keys())
+        new = sorted({p for _, ps in cut for p in ps} - known.keys(), key=len)  # words of a length take as many steps
         known.update(self._short([p for p in new if len(p) <= LONG_WORD]))
         known.update(self._long([p for p in new if len(p) > LONG_WORD]))
         for n, ps in cut:
