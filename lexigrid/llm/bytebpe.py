@@ -44,18 +44,19 @@ MEMORY, ROWS_HELD = 256, 250_000
 CACHE_BYTES, ENTRY = 96 << 20, 200
 
 CONTRACT = """
-WITH RECURSIVE state(step, word, pos, token) AS (
-    SELECT 0, word, pos, token FROM start
+WITH RECURSIVE state(step, word, pos, token, right_pos, right_token) AS (
+    SELECT 0, word, pos, token, right_pos, right_token FROM start
   UNION ALL
-    (WITH pairs AS (
-        SELECT step, word, pos, token, lead(token) OVER by_pos AS right_token, lag(pos) OVER by_pos AS left_pos
-        FROM state WINDOW by_pos AS (PARTITION BY word ORDER BY pos)),
+    (WITH held AS MATERIALIZED (SELECT * FROM state),
     best AS (
-        SELECT word, min(m.merged::BIGINT * 65536 + pos) AS code
-        FROM pairs p JOIN merges m ON m.left_token = p.token AND m.right_token = p.right_token GROUP BY word)
-    SELECT p.step + 1, p.word, p.pos, CASE WHEN p.pos = code % 65536 THEN code // 65536 ELSE p.token END::INTEGER
-    FROM pairs p JOIN best b ON b.word = p.word
-    WHERE p.left_pos IS NULL OR p.left_pos <> code % 65536)
+        SELECT word, min((m.merged::BIGINT << 32) + (h.pos::BIGINT << 16) + h.right_pos) AS code
+        FROM held h JOIN merges m ON m.left_token = h.token AND m.right_token = h.right_token GROUP BY word),
+    joined AS (
+        SELECT b.word, (code >> 32)::INTEGER AS merged, ((code >> 16) & 65535)::INTEGER AS at, h.pos AS gone, h.right_pos, h.right_token
+        FROM best b JOIN held h ON h.word = b.word AND h.pos = (code & 65535)::INTEGER)
+    SELECT h.step + 1, h.word, h.pos, CASE WHEN h.pos = j.at THEN j.merged ELSE h.token END, CASE WHEN h.pos = j.at THEN j.right_pos ELSE h.right_pos END,
+      CASE WHEN h.pos = j.at THEN j.right_token WHEN h.right_pos = j.at THEN j.merged ELSE h.right_token END
+    FROM held h JOIN joined j ON j.word = h.word WHERE h.pos <> j.gone)
 )
 SELECT word, list(token ORDER BY pos) AS ids
 FROM state JOIN (SELECT word, max(step) AS step FROM state GROUP BY word) USING (word, step) GROUP BY word
@@ -147,33 +148,34 @@ class Codec:
         edges = [0, *(np.flatnonzero(~spanned) + 1).tolist(), len(word)]
         return [word[i:j] for i, j in itertools.pairwise(edges)]
 
-    def _contract(self, query: str, words: list[np.ndarray], **given: int) -> list[tuple[int, np.ndarray, int]]:
-        """(number, tokens, step) of each word, given as tokens."""
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
+    def _contract(self, query: str, sizes: np.ndarray, tokens: np.ndarray, **given: int) -> Iterator[tuple[int, bytes, int]]:
+        """(number, ids as bytes, step) of each word. sizes: tokens of each word; tokens: all of them, one word after the other."""
         ends = np.cumsum(sizes)
         pos = (np.arange(ends[-1]) - np.repeat(ends - sizes, sizes)).astype(np.int32)
-        self.db.register("start", pa.table({"word": np.repeat(np.arange(len(words), dtype=np.int32), sizes), "pos": pos, "token": np.concatenate(words)}))
+        right_pos, right_token = pos + 1, np.append(tokens[1:], np.int32(-1))
+        right_pos[ends - 1] = right_token[ends - 1] = -1  # no neighbour
+        word = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        self.db.register("start", pa.table({"word": word, "pos": pos, "token": tokens, "right_pos": right_pos, "right_token": right_token}))
         # A single piece of over ROWS_HELD tokens needs more than the usual memory, in proportion to its length.
         self.db.execute(f"SET memory_limit = '{max(MEMORY, MEMORY * int(ends[-1]) // ROWS_HELD)}MB'")
         found = self.db.sql(query, params=given or None).to_arrow_table()
         self.db.unregister("start")
         ids = found.column("ids").combine_chunks()
-        flat, offsets = ids.values.to_numpy().astype(np.int32), ids.offsets.to_numpy()
-        steps = found.column("step").to_pylist() if given else [0] * found.num_rows
-        return [(w, flat[offsets[n] : offsets[n + 1]], steps[n]) for n, w in enumerate(found.column("word").to_pylist())]
-
-    def _short(self, pieces: list[bytes]) -> Iterator[tuple[bytes, np.ndarray]]:
-        start, rows = 0, 0
-        for n in range(len(pieces) + 1):
-            if n == len(pieces) or rows + len(pieces[n]) ** 2 > STEP_ROWS:
-                if n > start:
-                    group = pieces[start:n]
-                    yield from ((group[w], ids) for w, ids, _ in self._contract(CONTRACT, [self.single[np.frombuffer(p, np.uint8)] for p in group]))
-                start, rows = n, 0
-            if n < len(pieces):
-                rows += len(pieces[n]) ** 2
-
-    def _long(self, pieces: list[bytes]) -> Iterator[tuple[bytes, np.ndarray]]:
+        flat, places = ids.values.to_numpy().astype("<u4").tobytes(), (4 * ids.offsets.to_numpy()).tolist()
+        steps = found.column("step").to_pylist() if given else itertools.repeat(0)
+        return ((w, flat[i:j], step) for w, (i, j), step in zip(found.column("word").to_pylist(), itertools.pairwise(places), steps, strict=False))
+
+    def _short(self, pieces: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """The ids of pieces, which come in the order of their lengths."""
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        rows, start = np.cumsum(sizes**2), 0
+        while start < len(pieces):
+            end = max(start + 1, int(np.searchsorted(rows, (rows[start - 1] if start else 0) + STEP_ROWS, "right")))
+            group = pieces[start:end]
+            yield from ((group[w], ids) for w, ids, _ in self._contract(CONTRACT, sizes[start:end], self.single[np.frombuffer(b"".join(group), np.uint8)]))
+            start = end
+
+    def _long(self, pieces: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
         left = [(p, self.single[np.frombuffer(p, np.uint8)]) for p in pieces]
         while left:
             rows, n = 0, 0
@@ -182,23 +184,26 @@ class Codec:
                 n += 1
             group, left = left[:n], left[n:]
             steps = max(4, STEP_ROWS // rows)
-            for w, ids, step in self._contract(CONTRACT_RUNS, [tokens for _, tokens in group], steps=steps):
+            sizes = np.array([len(tokens) for _, tokens in group])
+            for w, ids, step in self._contract(CONTRACT_RUNS, sizes, np.concatenate([tokens for _, tokens in group]), steps=steps):
                 if step < steps:
                     yield group[w][0], ids
                 else:
-                    left.insert(0, (group[w][0], ids))
+                    left.insert(0, (group[w][0], np.frombuffer(ids, "<u4").astype(np.int32)))
 
     def _learn(self, words: list[str]) -> None:
         """Put the ids of these words, none of which is in the vocabulary, in the cache."""
-        cut = [(n, self._pieces(w) if len(w) > LONG_WORD else [w]) for n, w in ((n, n.encode()) for n in words)]
-        known = {p: np.array([rank], np.int32) for _, ps in cut if len(ps) > 1 for p in ps if (rank := self.ranks.get(p)) is not None}
-        new = sorted({p for _, ps in cut for p in ps} - known.keys(), key=len)  # words of a length take as many steps
+        encoded = [n.encode() for n in words]
+        cut = [(n, self._pieces(w)) for n, w in zip(words, encoded, strict=True) if len(w) > LONG_WORD]
+        pieces = {p for _, ps in cut for p in ps}
+        known = {p: self.ranks[p].to_bytes(4, "little") for p in pieces if p in self.ranks}
+        new = sorted(pieces.difference(known).union(w for w in encoded if len(w) <= LONG_WORD), key=len)  # words of a length take as many steps
         known.update(self._short([p for p in new if len(p) <= LONG_WORD]))
         known.update(self._long([p for p in new if len(p) > LONG_WORD]))
-        for n, ps in cut:
-            ids = known[ps[0]] if len(ps) == 1 else np.concatenate([known[p] for p in ps])
-            self.cache[n] = ids.astype("<u4").tobytes()
-            self.held += len(n) + len(self.cache[n]) + ENTRY
+        learnt = {n: known[w] for n, w in zip(words, encoded, strict=True) if len(w) <= LONG_WORD}
+        learnt.update((n, b"".join(map(known.__getitem__, ps))) for n, ps in cut)
+        self.cache.update(learnt)
+        self.held += sum(len(n) + len(ids) + ENTRY for n, ids in learnt.items())
 
     def _words(self, text: str) -> Iterator[list[str]]:
         """The words of a text, at most MATCHES at a time."""
