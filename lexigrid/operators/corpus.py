@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import word_count
+from ..shared import cut
 
 #: Least words of an accepted document, and depth of the category walk, by language. Fixed values.
 MIN_WORDS, DEPTH = {"en": 450, "ru": 350}, {"en": 4, "ru": 3}
@@ -42,13 +43,16 @@ def number(accepted: DataFrame, start: int = 0) -> DataFrame:
 def walk(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """category, depth: the categories reached from the seeds (category) over edges (parent, child), each at its least depth.
 
-    One join a level, against the frontier alone; categories met before are not expanded again.
+    One join a level, against the frontier alone; categories met before are not expanded again. Each level is written to
+    the shared folder once, so the plan has one part a level and nothing is worked out twice.
     """
-    frontier = seeds.select("category").distinct().withColumn("depth", F.lit(0))
+    frontier = cut(seeds.select("category").distinct().withColumn("depth", F.lit(0)))
     reached = frontier
     for level in range(1, depth + 1):
         nearby = frontier.join(edges, frontier["category"] == edges["parent"]).select(F.col("child").alias("category")).distinct()
-        frontier = nearby.join(reached, "category", "left_anti").withColumn("depth", F.lit(level))
+        frontier = cut(nearby.join(reached, "category", "left_anti").withColumn("depth", F.lit(level)))
+        if frontier.isEmpty():
+            break
         reached = reached.unionByName(frontier)
     return reached
 
@@ -92,14 +96,21 @@ def upper_median(groups: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def statistics(docs: DataFrame, raw: str = "raw", text: str = "text", words: str = "words") -> DataFrame:
-    """A row a language: docs, sizes in MiB and bytes a document of raw and text, words: average, upper median, least, most."""
+    """A row a language: docs, sizes in MiB and bytes a document of raw and text, words: average, upper median, least, most.
+
+    Texts are read once, into sums for each language and number of words; all figures come from these.
+    """
     part = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.octet_length(raw).alias("raw_bytes"), F.octet_length(text).alias("text_bytes"), F.col(words).cast("bigint").alias("words"))
+    groups = part.groupBy("lang", "words").agg(F.count("*").alias("c"), F.count("words").alias("worded"), F.sum("raw_bytes").alias("raw_bytes"), F.sum("text_bytes").alias("text_bytes"))
+    whole = Window.partitionBy("lang")
+    run = groups.withColumns({"upto": F.sum("worded").over(whole.orderBy("words")), "half": F.floor(F.sum("worded").over(whole) / 2)})
+    middle = (F.col("worded") > 0) & (F.col("upto") > F.col("half")) & (F.col("upto") - F.col("worded") <= F.col("half"))
     mib = lambda x: F.round(F.sum(x) / 1048576, 2)
-    sums = part.groupBy("lang").agg(
-        F.count("*").alias("docs"), mib("raw_bytes").alias("raw_size_mb"), mib("text_bytes").alias("text_size_mb"), F.round(F.sum("raw_bytes") / F.count("*"), 2).alias("avg_raw_bytes_per_doc"),
-        F.round(F.sum("text_bytes") / F.count("*"), 2).alias("avg_text_bytes_per_doc"), F.round(F.avg("words"), 2).alias("avg_words_per_doc"), F.min("words").alias("min_words"), F.max("words").alias("max_words"),
+    return run.groupBy("lang").agg(
+        F.sum("c").alias("docs"), mib("raw_bytes").alias("raw_size_mb"), mib("text_bytes").alias("text_size_mb"), F.round(F.sum("raw_bytes") / F.sum("c"), 2).alias("avg_raw_bytes_per_doc"),
+        F.round(F.sum("text_bytes") / F.sum("c"), 2).alias("avg_text_bytes_per_doc"), F.round(F.try_divide(F.sum(F.col("words") * F.col("worded")), F.sum("worded")), 2).alias("avg_words_per_doc"),
+        F.min("words").alias("min_words"), F.max("words").alias("max_words"), F.max(F.when(middle, F.col("words"))).alias("median_words_per_doc"),
     )
-    return sums.join(upper_median(part.where("words is not null"), ["lang"], "words").withColumnRenamed("median", "median_words_per_doc"), "lang", "left")
 
 
 def totals(docs: DataFrame, raw: str = "raw", text: str = "text") -> DataFrame:

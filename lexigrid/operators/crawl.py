@@ -90,6 +90,35 @@ def take(state: DataFrame, now: int, n: int, owner: str, config: CrawlConfig | N
     return due(state, now).orderBy("job", key, "norm_url").limit(n).withColumn("lock", lease)
 
 
+def lease(state: DataFrame, taken: DataFrame) -> DataFrame:
+    """State with the leases of the rows that take() gave."""
+    rows = state.join(taken.select("norm_url", F.col("lock").alias("_lease")), "norm_url", "left")
+    return rows.withColumn("lock", F.coalesce("_lease", "lock")).select(*state.columns)
+
+
+def release(state: DataFrame, owner: str) -> DataFrame:
+    """State without the owner's leases, so what it took is due again."""
+    mine = F.coalesce(F.col("lock.owner") == owner, F.lit(False))
+    return state.withColumn("lock", F.when(~mine, F.col("lock")))
+
+
+def fetched(jobs: DataFrame, responses: DataFrame) -> DataFrame:
+    """What apply_results() takes, from recorded responses (sources/recorded.py) to the jobs of due() or take().
+
+    A refetch whose etag, or last_modified if it has none, is the response's gives 304 without a body; a job without a
+    response of kind `page` is an error; of several responses to one address the greatest stands.
+    """
+    r = responses.where("kind = 'page'").groupBy(F.col("key").alias("norm_url")).agg(F.max(F.struct("status", "body", "etag", "last_modified")).alias("r"))
+    rows = jobs.select("norm_url", "job", "etag", "last_modified").join(r, "norm_url", "left")
+    equal = F.when(F.col("etag").isNotNull(), F.col("etag") == F.col("r.etag")).otherwise(F.col("last_modified") == F.col("r.last_modified"))
+    same = (F.col("job") == "refetch") & (F.col("r.status") == 200) & F.coalesce(equal, F.lit(False))
+    same = F.coalesce(same, F.lit(False))
+    return rows.select(
+        "norm_url", F.when(same, 304).otherwise(F.col("r.status")).cast("int").alias("status"), F.when(~same, F.col("r.body")).alias("html"),
+        F.col("r.etag").alias("etag"), F.col("r.last_modified").alias("last_modified"), F.when(F.col("r").isNull(), "no response").alias("error"),
+    )
+
+
 def outcome(status: Column, error: Column) -> Column:
     """unchanged, success or error."""
     return F.when(error.isNotNull(), "error").when(status == 304, "unchanged").when(status.between(200, 399), "success").otherwise("error")

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +12,7 @@ from .functions import stem, text, urls
 from .functions.text import sql_tokens
 from .operators import corpus, crawl, frequency, index
 from .plans import boolean
+from .shared import shared_dir
 from .sources.corpus import file_name
 from .streaming import crawl as crawl_stream
 from .streaming import index as index_stream
@@ -371,14 +371,14 @@ def bfs_depth(spark, sf_dir):
 
 
 @query("""
-SELECT 'region ' || r_regionkey AS category, 0::INTEGER AS depth FROM region WHERE r_regionkey < 2
-UNION ALL SELECT 'nation ' || n_nationkey, 1 FROM nation WHERE n_regionkey < 2
-UNION ALL SELECT 'customer ' || c_custkey, 2 FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey < 2""")
+SELECT 'region ' || r_regionkey AS category, 0::INTEGER AS depth FROM region
+UNION ALL SELECT 'nation ' || n_nationkey, 1 FROM nation JOIN region ON r_regionkey = n_regionkey
+UNION ALL SELECT 'customer ' || c_custkey, 2 FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey""")
 def bfs_tables(spark, sf_dir):
     name = lambda kind, c: F.concat(F.lit(f"{kind} "), F.col(c))
     nation, customer = table(spark, sf_dir, "nation"), table(spark, sf_dir, "customer")
     edges = nation.select(name("region", "n_regionkey").alias("parent"), name("nation", "n_nationkey").alias("child")).union(customer.select(name("nation", "c_nationkey"), name("customer", "c_custkey")))
-    return corpus.walk(edges, table(spark, sf_dir, "region").where("r_regionkey < 2").select(name("region", "r_regionkey").alias("category")), 4)
+    return corpus.walk(edges, table(spark, sf_dir, "region").select(name("region", "r_regionkey").alias("category")), 4)
 
 
 # Crawl
@@ -424,8 +424,8 @@ def _pages(spark, sf_dir):
 
 
 def _state(spark, sf_dir):
-    """State of two thirds of the pages in every situation: never fetched, due, waiting, leased."""
-    pages = _pages(spark, sf_dir).where("page_id % 3 <> 2")
+    """State of all pages in every situation: never fetched, due, waiting, leased."""
+    pages = _pages(spark, sf_dir)
     k = F.col("page_id")
     when = lambda test, value: F.when(test, value).cast("bigint")
     known = {
@@ -439,7 +439,7 @@ def _state(spark, sf_dir):
 
 _STATE_SQL = f"""
 state AS (SELECT norm_url, k % 50 AS created_at, CASE WHEN k % 2 = 0 THEN k + 1000 END AS fetched_at, CASE WHEN k % 2 = 0 THEN {NOW} - 500 + k % 1000 END AS next_refetch_at, CASE WHEN k % 5 = 0 THEN {NOW} - 100 + k % 200 END AS next_retry_at, k % 4 AS fail_count,
-  CASE WHEN k % 2 = 0 THEN sha256(html) END AS content_hash, CASE WHEN k % 11 = 0 THEN {NOW} - 10 + k % 20 END AS until FROM (SELECT norm_url, page_id AS k, html FROM {_PAGES}) WHERE k % 3 <> 2),
+  CASE WHEN k % 2 = 0 THEN sha256(html) END AS content_hash, CASE WHEN k % 11 = 0 THEN {NOW} - 10 + k % 20 END AS until FROM (SELECT norm_url, page_id AS k, html FROM {_PAGES})),
 due AS (SELECT *, CASE WHEN fetched_at IS NULL THEN 'first_fetch' WHEN next_refetch_at <= {NOW} THEN 'refetch' END AS job FROM state WHERE (until IS NULL OR until <= {NOW}) AND (next_retry_at IS NULL OR next_retry_at <= {NOW}))
 """
 
@@ -454,10 +454,44 @@ def take_jobs(spark, sf_dir):
     return crawl.take(_state(spark, sf_dir), NOW, 10, "me").select("norm_url", "job", F.col("lock.until").alias("lock_until"))
 
 
+@query(f"""
+WITH {_STATE_SQL}, taken AS (SELECT norm_url FROM due WHERE job IS NOT NULL ORDER BY job, CASE job WHEN 'first_fetch' THEN created_at ELSE next_refetch_at END, norm_url LIMIT 10)
+SELECT norm_url, CASE WHEN taken.norm_url IS NOT NULL THEN 'me' WHEN until IS NOT NULL THEN 'other' END AS owner, CASE WHEN taken.norm_url IS NOT NULL THEN {NOW} + 600 ELSE until END::BIGINT AS lock_until FROM state LEFT JOIN taken USING (norm_url)""")
+def crawl_lease(spark, sf_dir):
+    state = _state(spark, sf_dir)
+    return crawl.lease(state, crawl.take(state, NOW, 10, "me")).select("norm_url", F.col("lock.owner").alias("owner"), F.col("lock.until").alias("lock_until"))
+
+
+@query(f"WITH {_STATE_SQL} SELECT norm_url, CASE WHEN until > {NOW} + 5 THEN NULL ELSE until END::BIGINT AS lock_until FROM state")
+def crawl_release(spark, sf_dir):
+    late = F.col("lock.until") > NOW + 5
+    mine = _state(spark, sf_dir).withColumn("lock", F.when(F.coalesce(late, F.lit(False)), F.struct(F.lit("me").alias("owner"), "lock.until", "lock.taken_at")).otherwise(F.col("lock")))
+    return crawl.release(mine, "me").select("norm_url", F.col("lock.until").alias("lock_until"))
+
+
+@query(f"""
+WITH {_STATE_SQL}, p AS (SELECT norm_url, page_id AS k, html FROM {_PAGES}),
+f AS (SELECT norm_url, k, html, CASE WHEN k % 7 = 2 THEN NULL WHEN k % 7 = 1 THEN 404 WHEN job = 'refetch' AND k % 8 = 0 THEN 304 ELSE 200 END::INTEGER AS status FROM due JOIN p USING (norm_url) WHERE job IS NOT NULL)
+SELECT norm_url, status, CASE WHEN status <> 304 THEN sha256(html) END AS body_hash, CASE WHEN k % 7 = 2 THEN 'no response' END AS error FROM f""")
+def fetch_recorded(spark, sf_dir):
+    k = F.col("page_id")
+    kind = F.when(k % 7 == 2, "category").otherwise("page")
+    responses = _pages(spark, sf_dir).select(
+        kind.alias("kind"), F.col("norm_url").alias("key"), F.when(k % 7 == 1, 404).otherwise(200).alias("status"), F.col("html").alias("body"),
+        F.when(k % 8 == 0, "v1").otherwise("v2").alias("etag"), F.lit(None).cast("string").alias("last_modified"),
+    )
+    state = _state(spark, sf_dir).withColumn("etag", F.when(F.col("fail_count") == 0, "v1"))
+    out = crawl.fetched(crawl.due(state, NOW), responses)
+    return out.select("norm_url", "status", urls.content_hash(F.col("html")).alias("body_hash"), "error")
+
+
 @query(f"WITH s AS (SELECT norm_url, page_id AS k FROM {_PAGES}) SELECT norm_url, CASE WHEN k % 3 = 2 THEN {NOW} ELSE k % 50 END::BIGINT AS created_at, {NOW}::BIGINT AS updated_at, CASE WHEN k % 3 = 2 THEN 0 ELSE k % 4 END::INTEGER AS fail_count, k::VARCHAR AS pageid FROM s")
 def seed_upsert(spark, sf_dir):
-    records = _pages(spark, sf_dir).select("url", F.col("page_id").alias("pageid"), F.lit("en").alias("lang"))
-    out = crawl.upsert(_state(spark, sf_dir), crawl.seeds(records), NOW)
+    """Seeds of all pages; a third of them are new to the state."""
+    pages = _pages(spark, sf_dir)
+    records = pages.select("url", F.col("page_id").alias("pageid"), F.lit("en").alias("lang"))
+    known = _state(spark, sf_dir).join(pages.where("page_id % 3 <> 2").select("norm_url"), "norm_url", "left_semi")
+    out = crawl.upsert(known, crawl.seeds(records), NOW)
     return out.select("norm_url", "created_at", "updated_at", "fail_count", F.col("meta.pageid").alias("pageid"))
 
 
@@ -502,11 +536,8 @@ def crawl_counters(spark, sf_dir):
 
 
 def scratch(spark: SparkSession, kind: str) -> str:
-    """A new folder for a stream's files: under spark.checkpoint.dir, or a temporary one if that is unset."""
-    import uuid
-
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{shared.rstrip('/')}/lexigrid-{kind}-{uuid.uuid4().hex}" if shared else os.path.join(tempfile.mkdtemp(prefix="lexigrid-"), kind)
+    """A new folder for a stream's files in the shared folder."""
+    return f"{shared_dir(spark)}/lexigrid-{kind}-{uuid.uuid4().hex}"
 
 
 @query(f"WITH {_STATE_SQL}, {_RESULTS_SQL} SELECT * FROM after")
