@@ -34,7 +34,7 @@ SIMILAR = 0.85
 #: Features that vote in a block, and blocks of a line.
 VOTERS, WORD_BLOCKS, GRAM_BLOCKS = 5, 12, 28
 #: Lengths: one edit at most is allowed up to DELETED; words are features from WORDY characters on, 4-grams below SHORT
-#: characters and where the words make fewer than WORD_BLOCKS blocks. Lines of LONG bytes are normalised only to be compared.
+#: characters and where the words make fewer than WORD_BLOCKS blocks. 4-grams of lines of LONG characters are made of a list.
 DELETED, GRAMS_FROM, WORDY, SHORT, LONG = 13, 12, 72, 84, 120
 BROADCAST_ROWS = 300_000
 
@@ -42,11 +42,13 @@ BROADCAST_ROWS = 300_000
 #: What stands between words: all but letters, marks and digits.
 BETWEEN = r"[\P{L}&&\P{M}&&\P{N}]+"
 WORD = r"[\p{L}\p{M}\p{N}]"
+#: The same for lines in lower case in which all else than letters, marks and digits is ASCII (it costs less); what other lines have.
+BETWEEN_ASCII, OTHER = r"[^a-z0-9\x{80}-\x{10ffff}]+", r"[^\x00-\x7f\p{L}\p{M}\p{N}]"
 
 
 def words_of(line: Column) -> Column:
     """The words of a line in lower case; numbers are words."""
-    return F.array_remove(F.split(F.lower(line), BETWEEN, -1), "")
+    return let(F.lower(line), lambda x: F.array_remove(F.when(x.rlike(OTHER), F.split(x, BETWEEN, -1)).otherwise(F.split(x, BETWEEN_ASCII, -1)), ""))
 
 
 def normal(line: Column) -> Column:
@@ -79,14 +81,9 @@ def _grams(line: Column, n: Column) -> Column:
 
 def hashed_lines(docs: DataFrame) -> DataFrame:
     """d, h, line_no, k1, k2 (hashes of the line), and what its blocks are made of: by_words, by_grams, by_deletion, of every
-    line with a word. docs: from keyed().
-
-    Lines of LONG bytes and more keep their marks here, as parts of words: taking them out costs most of all, and long lines
-    that differ in marks share blocks. What is compared in the end is normalised.
-    """
-    lines = docs.select("d", "h", F.posexplode(F.split(F.lower("text"), "\n", -1)).alias("line_no", "line"))
-    long = F.octet_length("line") >= LONG
-    lines = lines.where(~long | F.col("line").rlike(WORD)).withColumn("line", F.when(long, F.trim("line")).otherwise(normal(F.col("line")))).where("line <> ''")
+    line with a word. docs: from keyed(). Lines of any length are normalised first."""
+    lines = docs.select("d", "h", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    lines = lines.where(F.col("line").rlike(WORD)).withColumn("line", normal(F.col("line")))
     n, line = F.length("line"), F.col("line")
     words = first_features(F.transform(F.split(line, " ", -1), lambda x: F.xxhash64(x)), WORD_BLOCKS)
     lines = lines.select("d", "h", "line_no", "line", n.cast("int").alias("n"), F.when(n >= WORDY, words).alias("by_words"))

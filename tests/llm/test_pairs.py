@@ -175,6 +175,19 @@ def test_lines_recall_by_length(spark):
         assert len(pairs) > 25 and sum(got[2 * p + 1, 0] == (2 * p, 0) for p in pairs) >= 0.9 * len(pairs), n
 
 
+def test_long_lines_that_differ_in_marks(spark):
+    """Lines whose normal forms are equal, or differ in one word, meet at any length, whatever stands between their words."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopé") for _ in range(rng.randrange(3, 9)))
+    rows = []
+    for between in (", ", " - ", "; ", "…", " «", "\u00a0", "_", "\t"):
+        for n in (30, 80):
+            words = [word() for _ in range(n)]
+            rows += [(len(rows), " ".join(words)), (len(rows) + 1, between.join(words).upper() + between), (len(rows) + 2, between.join([*words[:-1], "new"]))]
+    got = reported(linededup.dedup_report(spark.createDataFrame(rows, "doc_id bigint, text string")))
+    assert got == brute_lines(rows) and set(got.values()) == {(n, 0) for n in range(0, len(rows), 3)}
+
+
 def test_lines_clashing_names(spark):
     """Names that the operator uses itself, names with dots and names that differ in case alone do no harm."""
     rows = [(1, "one line here\nsecond line there", "x", 1, "q", 2), (2, "one line here\nthird of them", "y", 3, "r", 4)]
