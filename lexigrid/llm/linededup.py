@@ -8,7 +8,8 @@ blocks. (In a SimHash in which every feature votes for every bit, one changed wo
 number of blocks worth joining on survives.) Features are words, and 4-grams of characters for lines that are short or have
 few words; a line near a limit has both kinds. Up to DELETED characters, where one edit is allowed, the blocks are the line
 and what is left of it without each one character, which every such pair shares. Lines that meet are linked if the edit
-similarity of their normalised texts is at least SIMILAR, and by nothing else. Connected lines are a group, of which the
+similarity of their normalised texts is at least SIMILAR, and by nothing else. Only the first WORD_BLOCKS and GRAM_BLOCKS
+blocks of a line are made, so similar lines that share none of them are missed. Connected lines are a group, of which the
 occurrence with the smallest (doc_id, line number) stays.
 
 A list of lines under one block is tied as a star and a chain first; whole pairs are formed only where a list still holds
@@ -110,11 +111,19 @@ def entered_blocks(distinct: DataFrame) -> DataFrame:
 
 
 def verified(docs: DataFrame, pairs: DataFrame, firsts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose normalised lines are similar. firsts: id, d, h, line_no of each line."""
+    """The pairs (a, b) whose normalised lines are similar, cut. firsts: id, d, h, line_no of each line."""
+    spark = docs.sparkSession
     wanted = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().join(firsts, "id"))
-    few = F.broadcast if wanted.count() <= BROADCAST_ROWS else lambda x: x
-    rows = docs.join(few(wanted.select("d", "h").distinct()), ["d", "h"], "left_semi").select("d", "h", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    texts = cut(rows.join(few(wanted), ["d", "h", "line_no"]).select("id", normal(F.col("line")).alias("line")).dropDuplicates(["id"]))
+    many = wanted.count() > BROADCAST_ROWS
+    few = (lambda x: x) if many else F.broadcast
+    # Many lines: a shuffle of the lines alone; one of the documents before it would put the texts on disk twice.
+    rows = docs if many else docs.join(few(wanted.select("d", "h").distinct()), ["d", "h"], "left_semi")
+    rows = rows.select("d", "h", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    at = new_table(spark, "compared-lines")
+    rows.join(few(wanted), ["d", "h", "line_no"]).select("id", normal(F.col("line")).alias("line")).dropDuplicates(["id"]).write.parquet(at)
+    texts = spark.read.parquet(at)
+    del wanted, rows
+    release(spark)
     side = lambda x: texts.select(F.col("id").alias(x), F.col("line").alias(f"l{x}"))
     longer, shorter = F.greatest(F.length("la"), F.length("lb")), F.least(F.length("la"), F.length("lb"))
     allowed = F.floor(longer * (1 - SIMILAR)).cast("int")
@@ -141,33 +150,48 @@ def verified(docs: DataFrame, pairs: DataFrame, firsts: DataFrame) -> DataFrame:
     both = pairs.join(side("a"), "a").join(side("b"), "b").where(longer - shorter <= allowed).select("a", "b", F.explode(F.array(parts)).alias("m"))
     between = F.greatest(F.length("m.a"), F.length("m.b")) + 1
     exact = (F.length("m.a") > 0) & (F.length("m.b") > 0) & (F.expr("levenshtein(m.a, m.b, m.allowed)") >= 0)
-    return both.where(F.when(F.col("m.close") | (between <= F.col("m.allowed")), True).otherwise(exact)).select("a", "b")
+    # (Written first, as a checkpoint works its rows out twice.)
+    similar = new_table(spark, "similar-lines")
+    both.where(F.when(F.col("m.close") | (between <= F.col("m.allowed")), True).otherwise(exact)).select("a", "b").write.parquet(similar)
+    links = cut(spark.read.parquet(similar))
+    for path in (at, similar):
+        drop_table(spark, path)
+    release(spark)
+    return links
 
 
 def line_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
     """docs: from keyed(). (lines, groups, tables): d, h, line_no, k1, k2 of each line; k1, k2, stays (d, h, line_no) of each distinct
     normalised line; and the paths of the tables that the two are read from."""
     spark, rows = docs.sparkSession, docs
-    tables = [new_table(spark, "lines")]
-    hashed_lines(rows).write.parquet(tables[0])
-    lines = spark.read.parquet(tables[0])
+    by = ["by_words", "by_grams", "by_deletion"]
+    whole, thin = [new_table(spark, f"{x}-blocks") for x in ("lines", "distinct-lines")], [new_table(spark, x) for x in ("lines", "distinct-lines")]
+    hashed_lines(rows).write.parquet(whole[0])
+    lines = spark.read.parquet(whole[0])
     # Lists name a line by k1 alone: a second line of the same k1 only adds to what is compared.
-    distinct = lines.groupBy("k1", "k2").agg(F.min(F.struct("d", "h", "line_no")).alias("first"), *[F.first(x).alias(x) for x in ("by_words", "by_grams", "by_deletion")])
-    tables.append(new_table(spark, "distinct-lines"))
-    distinct.write.parquet(tables[1])
-    distinct = spark.read.parquet(tables[1])
-    entered = entered_blocks(distinct.withColumnRenamed("k1", "id"))
+    distinct = lines.groupBy("k1", "k2").agg(F.min(F.struct("d", "h", "line_no")).alias("first"), *[F.first(x).alias(x) for x in by])
+    distinct.write.parquet(whole[1])
+    # What blocks are made of is most of both tables, and goes as soon as it has been used.
+    lines.drop(*by).write.parquet(thin[0])
+    drop_table(spark, whole[0])
+    lines, distinct = spark.read.parquet(thin[0]), spark.read.parquet(whole[1])
+    release(spark)
     in_order = Window.partitionBy("key").orderBy("id")
-    met = entered.withColumns({"before": F.lag("id").over(in_order), "after": F.lead("id").over(in_order), "star": F.first("id").over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow))})
     table = new_table(spark, "line-lists")
+    entered = entered_blocks(distinct.withColumnRenamed("k1", "id"))
+    met = entered.withColumns({"before": F.lag("id").over(in_order), "after": F.lead("id").over(in_order), "star": F.first("id").over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow))})
     met.where("before is not null or after is not null").drop("after").write.parquet(table)
+    del entered, met
+    release(spark)
     met = spark.read.parquet(table)
+    distinct.drop(*by).write.parquet(thin[1])
+    drop_table(spark, whole[1])
+    distinct = spark.read.parquet(thin[1])
 
     near = met.where("before is not null").select(F.explode(F.array("before", "star")).alias("p"), F.col("id").alias("q"))
     ordered = lambda x: cut(x.where("p <> q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct())
     firsts = distinct.select(F.col("k1").alias("id"), "first.*")
-    links = cut(verified(rows, ordered(near), firsts))
-    release(spark)
+    links = verified(rows, ordered(near), firsts)
 
     # Lists whose lines are not all of one group: pairs of lines of different groups that the ties have missed.
     groups = components(links)
@@ -178,7 +202,7 @@ def line_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
     other = left.select("key", F.col("id").alias("q"), F.col("group").alias("other_group"))
     missed = left.withColumnRenamed("id", "p").join(other, "key").where(F.col("group") < F.col("other_group")).select("p", "q")
     missed = ordered(missed).join(links, ["a", "b"], "left_anti")
-    more = cut(verified(rows, cut(missed), firsts))
+    more = verified(rows, cut(missed), firsts)
     drop_table(spark, table)
     release(spark)
     groups = cut(components(links.union(more)))
@@ -189,7 +213,7 @@ def line_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
     linked = cut(linked.join(stays, "component").select("k1", "k2", "stays"))
     release(spark)
     few = F.broadcast if linked.count() <= BROADCAST_ROWS else lambda x: x
-    return lines, distinct.join(few(linked), ["k1", "k2"], "left").select("k1", "k2", F.coalesce("stays", "first").alias("stays")), tables
+    return lines, distinct.join(few(linked), ["k1", "k2"], "left").select("k1", "k2", F.coalesce("stays", "first").alias("stays")), thin
 
 
 def line_verdicts(lines: DataFrame, groups: DataFrame) -> DataFrame:

@@ -188,6 +188,22 @@ def test_long_lines_that_differ_in_marks(spark):
     assert got == brute_lines(rows) and set(got.values()) == {(n, 0) for n in range(0, len(rows), 3)}
 
 
+def test_lines_leave_no_features_on_disk(spark, monkeypatch, tmp_path):
+    """When lines are compared, no table of theirs holds what the blocks were made of."""
+    monkeypatch.setattr(linededup, "new_table", lambda _, kind: f"file://{tmp_path}/lexigrid-{kind}-{random.random()}")
+    seen, own = [], linededup.verified
+
+    def watched(*a):
+        seen.append({c for p in tmp_path.glob("lexigrid-*") for c in spark.read.parquet(str(p)).columns})
+        return own(*a)
+
+    monkeypatch.setattr(linededup, "verified", watched)
+    rows = near_lines(4)
+    got = reported(linededup.dedup_report(spark.createDataFrame(rows, "doc_id bigint, text string")))
+    assert got == brute_lines(rows)
+    assert len(seen) == 2 and all("k1" in x and not x & {"by_words", "by_grams", "by_deletion"} for x in seen)
+
+
 def test_lines_clashing_names(spark):
     """Names that the operator uses itself, names with dots and names that differ in case alone do no harm."""
     rows = [(1, "one line here\nsecond line there", "x", 1, "q", 2), (2, "one line here\nthird of them", "y", 3, "r", 4)]
