@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, drop_table, new_table, numbered, release
+from .common import cut, drop_table, new_table, numbered, parallelism, release
 from .components import components
 from .quality import let
 
@@ -35,9 +35,11 @@ SIMILAR = 0.85
 #: Features that vote in a block, and blocks of a line.
 VOTERS, WORD_BLOCKS, GRAM_BLOCKS = 5, 12, 28
 #: Lengths: one edit at most is allowed up to DELETED; words are features from WORDY characters on, 4-grams below SHORT
-#: characters and where the words make fewer than WORD_BLOCKS blocks. 4-grams of lines of LONG characters are made of a list.
-DELETED, GRAMS_FROM, WORDY, SHORT, LONG = 13, 12, 72, 84, 120
+#: characters and of lines of less than FEW_WORDS different words. 4-grams of lines of LONG characters are made of a list.
+DELETED, GRAMS_FROM, WORDY, SHORT, LONG, FEW_WORDS = 13, 12, 72, 84, 120, 16
 BROADCAST_ROWS = 300_000
+#: Bits of the table that says which lines are compared: 2**20 rows of 64 bits.
+MARKS = 1 << 26
 
 
 #: What stands between words: all but letters, marks and digits.
@@ -80,9 +82,15 @@ def _grams(line: Column, n: Column) -> Column:
     return F.when(n < LONG, let(F.concat(F.lit("  "), line, F.lit("  ")), short)).otherwise(long)
 
 
+def alike_long(n: Column, m: Column) -> Column:
+    """False only for lines (of n and m characters) whose lengths differ by more than similar lines may."""
+    return F.abs(n - m) <= F.floor(F.greatest(n, m) * (1 - SIMILAR))
+
+
 def hashed_lines(docs: DataFrame) -> DataFrame:
-    """d, h, line_no, k1, k2 (hashes of the line), and what its blocks are made of: by_words, by_grams, by_deletion, of every
-    line with a word. docs: from keyed(). Lines of any length are normalised first."""
+    """d, h, line_no, k1, k2 (hashes of the line), n (its length when normalised), and what its blocks
+    are made of: by_words, by_grams, by_deletion, of every line with a word. docs: from keyed(). Lines of any length are
+    normalised first."""
     lines = docs.select("d", "h", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
     lines = lines.where(F.col("line").rlike(WORD)).withColumn("line", normal(F.col("line")))
     n, line = F.length("line"), F.col("line")
@@ -90,9 +98,9 @@ def hashed_lines(docs: DataFrame) -> DataFrame:
     lines = lines.select("d", "h", "line_no", "line", n.cast("int").alias("n"), F.when(n >= WORDY, words).alias("by_words"))
     n = F.col("n")
     without = F.transform(F.sequence(F.lit(0), n), lambda i: F.xxhash64(F.lit(2), F.when(i == 0, line).otherwise(F.concat(F.substring(line, F.lit(1), i - 1), F.substring(line, i + 1, n)))))
-    few_words = F.coalesce(F.size("by_words") < WORD_BLOCKS + VOTERS - 1, F.lit(True))
+    few_words = F.coalesce(F.size("by_words") < FEW_WORDS, F.lit(True))
     return lines.select(
-        "d", "h", "line_no", F.xxhash64(line).alias("k1"), F.xxhash64(F.lit(1), line).alias("k2"), "by_words",
+        "d", "h", "line_no", F.xxhash64(line).alias("k1"), F.xxhash64(F.lit(1), line).alias("k2"), "n", "by_words",
         F.when((n >= GRAMS_FROM) & ((n < SHORT) | few_words), first_features(_grams(line, n), GRAM_BLOCKS)).alias("by_grams"),
         F.when((n >= 6) & (n <= DELETED), F.array_distinct(without)).alias("by_deletion"),
     )
@@ -110,17 +118,34 @@ def entered_blocks(distinct: DataFrame) -> DataFrame:
     return rows.select("id", key.alias("key"))
 
 
+def marked(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows (d, h, line_no and others) of all places in wanted and a few of other places, found without a shuffle of rows:
+    places are bits of a table, about 16 bits a place and MARKS bits at most, which is broadcast."""
+    bits = 1 << min(MARKS.bit_length() - 1, max(10, (16 * wanted.count()).bit_length()))
+    slot = F.xxhash64("d", "h", "line_no").bitwiseAND(F.lit(bits - 1))
+    marks = wanted.select(slot.alias("slot")).selectExpr("slot >> 6 AS word", "1L << cast(slot & 63 AS int) AS bit").groupBy("word").agg(F.bit_or("bit").alias("marks"))
+    return rows.withColumn("slot", slot).withColumn("word", F.expr("slot >> 6")).join(F.broadcast(marks), "word").where("marks >> cast(slot & 63 AS int) & 1 = 1").drop("slot", "word", "marks")
+
+
 def verified(docs: DataFrame, pairs: DataFrame, firsts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose normalised lines are similar, cut. firsts: id, d, h, line_no of each line."""
+    """The pairs (a, b) whose normalised lines are similar, cut. firsts: id, d, h, line_no, n of each line."""
     spark = docs.sparkSession
-    wanted = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().join(firsts, "id"))
+    ends = lambda x: x.select(F.col("a").alias("id")).union(x.select("b")).distinct()
+    met = cut(ends(pairs).join(firsts, "id"))
+    few = F.broadcast if met.count() <= BROADCAST_ROWS else lambda x: x
+    end = lambda x: few(met.select(F.col("id").alias(x), F.col("n").alias(f"n{x}")))
+    pairs = cut(pairs.join(end("a"), "a").join(end("b"), "b").where(alike_long(F.col("na"), F.col("nb"))).select("a", "b").repartition(parallelism(spark), "a", "b"))
+    wanted = cut(met.drop("n").join(few(ends(pairs)), "id"))
     many = wanted.count() > BROADCAST_ROWS
+    del met
     few = (lambda x: x) if many else F.broadcast
     # Many lines: a shuffle of the lines alone; one of the documents before it would put the texts on disk twice.
     rows = docs if many else docs.join(few(wanted.select("d", "h").distinct()), ["d", "h"], "left_semi")
     rows = rows.select("d", "h", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    rows = marked(rows, wanted) if many else rows
     at = new_table(spark, "compared-lines")
-    rows.join(few(wanted), ["d", "h", "line_no"]).select("id", normal(F.col("line")).alias("line")).dropDuplicates(["id"]).write.parquet(at)
+    place = ["d", "h", "line_no"]
+    rows.join(few(wanted), place).dropDuplicates(place).select("id", normal(F.col("line")).alias("line")).write.parquet(at)
     texts = spark.read.parquet(at)
     del wanted, rows
     release(spark)
@@ -169,10 +194,10 @@ def line_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
     hashed_lines(rows).write.parquet(whole[0])
     lines = spark.read.parquet(whole[0])
     # Lists name a line by k1 alone: a second line of the same k1 only adds to what is compared.
-    distinct = lines.groupBy("k1", "k2").agg(F.min(F.struct("d", "h", "line_no")).alias("first"), *[F.first(x).alias(x) for x in by])
+    distinct = lines.groupBy("k1", "k2").agg(F.min(F.struct("d", "h", "line_no")).alias("first"), *[F.first(x).alias(x) for x in ["n", *by]])
     distinct.write.parquet(whole[1])
     # What blocks are made of is most of both tables, and goes as soon as it has been used.
-    lines.drop(*by).write.parquet(thin[0])
+    lines.drop("n", *by).write.parquet(thin[0])
     drop_table(spark, whole[0])
     lines, distinct = spark.read.parquet(thin[0]), spark.read.parquet(whole[1])
     release(spark)
@@ -190,7 +215,7 @@ def line_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
 
     near = met.where("before is not null").select(F.explode(F.array("before", "star")).alias("p"), F.col("id").alias("q"))
     ordered = lambda x: cut(x.where("p <> q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct())
-    firsts = distinct.select(F.col("k1").alias("id"), "first.*")
+    firsts = distinct.select(F.col("k1").alias("id"), "first.*", "n")
     links = verified(rows, ordered(near), firsts)
 
     # Lists whose lines are not all of one group: pairs of lines of different groups that the ties have missed.
@@ -198,9 +223,10 @@ def line_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
     named = met.select("key", "id").join(groups, "id", "left").withColumn("group", F.coalesce("component", "id")).drop("component")
     named = cut(named)
     mixed = named.groupBy("key").agg(F.min("group").alias("x"), F.max("group").alias("y")).where("x <> y").select("key")
-    left = cut(named.join(mixed, "key", "left_semi"))
-    other = left.select("key", F.col("id").alias("q"), F.col("group").alias("other_group"))
-    missed = left.withColumnRenamed("id", "p").join(other, "key").where(F.col("group") < F.col("other_group")).select("p", "q")
+    left = cut(named.join(mixed, "key", "left_semi").join(firsts.select("id", "n"), "id"))
+    other = left.select("key", F.col("id").alias("q"), F.col("group").alias("other_group"), F.col("n").alias("m"))
+    possible = (F.col("group") < F.col("other_group")) & alike_long(F.col("n"), F.col("m"))
+    missed = left.withColumnRenamed("id", "p").join(other, "key").where(possible).select("p", "q")
     missed = ordered(missed).join(links, ["a", "b"], "left_anti")
     more = verified(rows, cut(missed), firsts)
     drop_table(spark, table)

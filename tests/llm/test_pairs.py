@@ -204,6 +204,22 @@ def test_lines_leave_no_features_on_disk(spark, monkeypatch, tmp_path):
     assert len(seen) == 2 and all("k1" in x and not x & {"by_words", "by_grams", "by_deletion"} for x in seen)
 
 
+def test_many_lines_without_others(spark, monkeypatch):
+    """Beyond the limit of broadcasts, of all lines only those that are compared (and one in eight of the others) are shuffled, with the same result."""
+    lines = [(n, n % 7, k) for n in range(3000) for k in range(4)]
+    rows = spark.createDataFrame(lines, "d bigint, h bigint, line_no int")
+    wanted = rows.where("d % 20 = 0")
+    got = {tuple(r) for r in linededup.marked(rows, wanted).select("d", "h", "line_no").collect()}
+    assert {x for x in lines if x[0] % 20 == 0} <= got and len(got) < len(lines) * (1 / 20 + 1 / 8)
+    monkeypatch.setattr(linededup, "MARKS", 64)
+    assert {x for x in lines if x[0] % 20 == 0} <= {tuple(r) for r in linededup.marked(rows, wanted).select("d", "h", "line_no").collect()}
+    monkeypatch.setattr(linededup, "BROADCAST_ROWS", 0)
+    given, shuffled = near_lines(11), []
+    own = linededup.marked
+    monkeypatch.setattr(linededup, "marked", lambda rows, wanted: shuffled.append(1) or own(rows, wanted))
+    assert reported(linededup.dedup_report(spark.createDataFrame(given, "doc_id bigint, text string"))) == brute_lines(given) and len(shuffled) == 2
+
+
 def test_lines_clashing_names(spark):
     """Names that the operator uses itself, names with dots and names that differ in case alone do no harm."""
     rows = [(1, "one line here\nsecond line there", "x", 1, "q", 2), (2, "one line here\nthird of them", "y", 3, "r", 4)]
