@@ -33,7 +33,7 @@ from .quality import let
 #: one are similar, and by them nearly all such lines (years, pages) would be one group; at 0.85 an edit needs 7 characters.
 SIMILAR = 0.85
 #: Features that vote in a block, and blocks of a line.
-VOTERS, WORD_BLOCKS, GRAM_BLOCKS = 5, 12, 28
+VOTERS, WORD_BLOCKS, GRAM_BLOCKS = 5, 13, 28
 #: Lengths: one edit at most is allowed up to DELETED; words are features from WORDY characters on, 4-grams below SHORT
 #: characters and of lines of less than FEW_WORDS different words. 4-grams of lines of LONG characters are made of a list.
 DELETED, GRAMS_FROM, WORDY, SHORT, LONG, FEW_WORDS = 13, 12, 72, 84, 120, 16
@@ -69,6 +69,13 @@ def simhash(s: Column, i: Column) -> Column:
     return d.bitwiseAND(e).bitwiseOR(three.bitwiseAND(d.bitwiseOR(e)))
 
 
+def word_hash(word: Column) -> Column:
+    """62 bits of the word's hash, behind two that put long words first (of 7 letters, of 5, of 4, shorter ones): words that
+    many lines have are mostly short, and blocks of such words alone make lists of lines that have nothing else in common."""
+    n = F.length(word)
+    return F.shiftrightunsigned(F.xxhash64(word), 2) + F.when(n >= 7, F.lit(-(1 << 63))).when(n >= 5, F.lit(-(1 << 62))).when(n >= 4, F.lit(0)).otherwise(F.lit(1 << 62))
+
+
 def first_features(hashes: Column, most: int) -> Column:
     """The features that vote in the first `most` blocks, in the order of their hashes."""
     return F.slice(F.array_distinct(F.sort_array(hashes)), 1, most + VOTERS - 1)
@@ -94,7 +101,7 @@ def hashed_lines(docs: DataFrame) -> DataFrame:
     lines = docs.select("d", "h", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
     lines = lines.where(F.col("line").rlike(WORD)).withColumn("line", normal(F.col("line")))
     n, line = F.length("line"), F.col("line")
-    words = first_features(F.transform(F.split(line, " ", -1), lambda x: F.xxhash64(x)), WORD_BLOCKS)
+    words = first_features(F.transform(F.split(line, " ", -1), word_hash), WORD_BLOCKS)
     lines = lines.select("d", "h", "line_no", "line", n.cast("int").alias("n"), F.when(n >= WORDY, words).alias("by_words"))
     n = F.col("n")
     without = F.transform(F.sequence(F.lit(0), n), lambda i: F.xxhash64(F.lit(2), F.when(i == 0, line).otherwise(F.concat(F.substring(line, F.lit(1), i - 1), F.substring(line, i + 1, n)))))

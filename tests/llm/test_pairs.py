@@ -204,6 +204,21 @@ def test_lines_leave_no_features_on_disk(spark, monkeypatch, tmp_path):
     assert len(seen) == 2 and all("k1" in x and not x & {"by_words", "by_grams", "by_deletion"} for x in seen)
 
 
+def test_lines_of_common_words_do_not_meet(spark):
+    """Lines that share many short words, and are not similar, have no block in common."""
+    rng = random.Random(9)
+    common = ["the", "of", "and", "a", "to", "in", "is", "was", "on", "as", "for", "he"]
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(6, 10)))
+    lines = []
+    for _ in range(400):
+        words = common + [word() for _ in range(18)]
+        rng.shuffle(words)
+        lines.append(" ".join(words))
+    docs = linededup.keyed(spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string"))
+    blocks = linededup.entered_blocks(linededup.hashed_lines(docs).withColumnRenamed("k1", "id"))
+    assert blocks.groupBy("key").count().where("count > 1").count() == 0
+
+
 def test_many_lines_without_others(spark, monkeypatch):
     """Beyond the limit of broadcasts, of all lines only those that are compared (and one in eight of the others) are shuffled, with the same result."""
     lines = [(n, n % 7, k) for n in range(3000) for k in range(4)]
